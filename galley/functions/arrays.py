@@ -12,29 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TO_END = 1 << 30
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def beside(array: Column, element_type: str) -> Column:
-    """``array<struct(x, prev, next)>``; NULL past either end."""
-    nothing = F.array(F.lit(None).cast(element_type))
-    return let(
-        array,
-        lambda a: F.slice(
-            F.arrays_zip(
-                a.alias("x"), F.concat(nothing, a).alias("prev"), F.slice(a, 2, _TO_END).alias("next")
-            ),
-            F.lit(1),
-            F.size(a),
-        ),
-    )
-
-
 def where(array: Column, keep: Callable[[Column, Column], Column]) -> Column:
     """0-based positions ``i`` of the elements with ``keep(element, i)``."""
     return F.array_compact(F.transform(array, lambda x, i: F.when(keep(x, i), i)))

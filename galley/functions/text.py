@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
+from galley.functions.arrays import let
 from galley.functions.re2 import UNICODE_SPACE, re2
 
 
@@ -69,19 +70,30 @@ def context(text: Column, at: Column) -> Column:
     Thirty characters each side, sixty from an edge of the text, widened to
     whole words; runs of spaces are closed up.
     """
-    size = F.length(text)
-    left = at - fx.CONTEXT_SIDE
-    right = F.when(left < 0, F.lit(fx.CONTEXT_WIDTH)).otherwise(at + fx.CONTEXT_SIDE)
-    at_end = right >= size
-    lo = F.greatest(
-        F.when(at_end, size - fx.CONTEXT_WIDTH).when(left < 0, F.lit(0)).otherwise(left), F.lit(0)
-    )
-    hi = F.when(at_end, size).otherwise(right)
-    back = F.instr(F.reverse(F.substr(text, F.lit(1), lo + 1)), " ")
-    start = F.when((lo > 0) & (back > 0), lo + 1 - back).otherwise(0)
-    ahead = F.call_function("locate", F.lit(" "), text, hi + 1)
-    end = F.when((hi < size) & (ahead > 0), ahead - 1).otherwise(size)
-    snippet = trim_space(F.substr(text, start + 1, end - start))
+
+    def bounds(size: Column) -> Column:
+        left = at - fx.CONTEXT_SIDE
+        right = F.when(left < 0, F.lit(fx.CONTEXT_WIDTH)).otherwise(at + fx.CONTEXT_SIDE)
+        lo = (
+            F.when(right >= size, size - fx.CONTEXT_WIDTH)
+            .when(left < 0, F.lit(0))
+            .otherwise(left)
+        )
+        return F.struct(
+            F.greatest(lo, F.lit(0)).alias("lo"), F.least(right, size).alias("hi"), size.alias("size")
+        )
+
+    def widen(b: Column) -> Column:
+        back = F.instr(F.reverse(F.substr(text, F.lit(1), b["lo"] + 1)), " ")
+        start = let(back, lambda k: F.when((b["lo"] > 0) & (k > 0), b["lo"] + 1 - k).otherwise(0))
+        ahead = F.call_function("locate", F.lit(" "), text, b["hi"] + 1)
+        end = let(ahead, lambda k: F.when((b["hi"] < b["size"]) & (k > 0), k - 1).otherwise(b["size"]))
+        return let(
+            F.struct(start.alias("start"), end.alias("end")),
+            lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]),
+        )
+
+    snippet = trim_space(let(let(F.length(text), bounds), widen))
     return replace_all(snippet, [("  ", " "), ("  ", " ")])
 
 
@@ -93,35 +105,26 @@ def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Col
     positions are the running sums of the lengths.
     """
     gap_then = rf"\G((?s:.*?))({re2(pattern)})"
-    gaps = F.regexp_extract_all(text, F.lit(gap_then), F.lit(1))
-    items = F.regexp_extract_all(text, F.lit(gap_then), F.lit(2))
-    parts = [F.regexp_extract_all(text, F.lit(gap_then), F.lit(g + 2)) for g in groups]
-    empty = F.lit([]).cast(_span_type(len(groups)))
-    zipped = F.arrays_zip(
-        gaps.alias("gap"),
-        items.alias("item"),
-        *[p.alias(f"g{i + 1}") for i, p in enumerate(parts)],
-    )
-    folded = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("end"), empty.alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["end"] + F.length(m["gap"]) + F.length(m["item"])).alias("end"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        (acc["end"] + F.length(m["gap"])).alias("at"),
-                        m["item"].alias("item"),
-                        *[m[f"g{i + 1}"].alias(f"g{i + 1}") for i in range(len(groups))],
-                    )
-                ),
-            ).alias("spans"),
-        ),
+    names = [f"g{i + 1}" for i in range(len(groups))]
+    extra = "".join(f", {n}: string" for n in names)
+    empty = F.array().cast(f"array<struct<at: int, item: string{extra}>>")
+
+    def part(group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(gap_then), F.lit(group))
+
+    found = F.arrays_zip(
+        part(1).alias("gap"),
+        part(2).alias("item"),
+        *[part(g + 2).alias(n) for g, n in zip(groups, names)],
     )
-    return F.when(text.rlike(re2(pattern)), folded["spans"]).otherwise(empty)
 
+    def step(acc: Column, m: Column) -> Column:
+        at = acc["end"] + F.length(m["gap"])
+        span = F.struct(at.alias("at"), m["item"].alias("item"), *[m[n].alias(n) for n in names])
+        return F.struct(
+            (at + F.length(m["item"])).alias("end"),
+            F.concat(acc["spans"], F.array(span)).alias("spans"),
+        )
 
-def _span_type(n_groups: int) -> str:
-    extra = "".join(f", g{i + 1}: string" for i in range(n_groups))
-    return f"array<struct<at: int, item: string{extra}>>"
+    folded = F.aggregate(found, F.struct(F.lit(0).alias("end"), empty.alias("spans")), step)
+    return F.when(text.rlike(re2(pattern)), folded["spans"]).otherwise(empty)

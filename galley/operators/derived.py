@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
-from galley.functions.arrays import beside, counts, let, runs, where
+from galley.functions.arrays import counts, let, runs, where
 from galley.functions.text import find_all, matches, trim_space
 from galley.functions.words import book_words, line_words
 from galley.sources.books import line_array, text_body
@@ -25,17 +25,33 @@ def lines(books: DataFrame) -> DataFrame:
 
 
 def lines_in_place(books: DataFrame) -> DataFrame:
-    """Lines with the one ``before`` and ``after`` (NULL past either end)."""
-    return books.select(
-        "doc_id", F.posexplode(beside(line_array(F.col("text")), "string")).alias("pos", "line")
-    ).select(
-        "doc_id",
-        (F.col("pos") + 1).cast("long").alias("line_no"),
-        F.col("line.x").alias("text"),
-        F.col("line.prev").alias("before"),
-        F.col("line.next").alias("after"),
+    """Lines with their neighbours ``before`` and ``after`` (NULL past an end).
+
+    ``opens`` is true where the line before is empty, or would be once a lone
+    em dash that itself opens a paragraph is taken away.
+    """
+    lone_dash = r"(?:(?<=\n\n)|(?<=\A\n)|(?!\A)\G)—\n"
+    undashed = F.when(
+        F.contains("text", F.lit("—\n")) | F.contains("text", F.lit("—\r\n")),
+        F.regexp_replace(text_body(F.col("text")), lone_dash, "\n"),
     )
 
+    def zipped(lined: Column) -> Column:
+        return let(
+            F.coalesce(F.split(undashed, "\n", -1), lined),
+            lambda plain: F.transform(
+                lined,
+                lambda x, i: F.struct(
+                    (i + 1).cast("long").alias("line_no"),
+                    x.alias("text"),
+                    F.get(lined, i + 1).alias("after"),
+                    F.coalesce(F.get(plain, i - 1) == "", F.lit(False)).alias("opens"),
+                ),
+            ),
+        )
+
+    return books.select("doc_id", F.inline(let(line_array(F.col("text")), zipped)))
+
 
 def paragraph_array(text: Column) -> Column:
     """Runs of non-empty lines, each joined by single spaces."""
@@ -220,23 +236,40 @@ def distinct_keep(books: DataFrame) -> DataFrame:
 def line_intersection(books: DataFrame) -> DataFrame:
     """Lines on which every part of a hyphenated vocabulary word stands alone.
 
-    Hyphenated words and line words are joined per document on the part; a
-    line counts when it holds as many distinct parts as the word has.
+    Only words that are a part of some compound of the same document leave
+    its row; compounds and lines then meet on (document, part), and a line
+    counts when it holds as many distinct parts as the compound has.
     """
-    parts = (
-        vocab_where(books, lambda w: matches(w, r"[^-]-[^-]"))
-        .select("doc_id", "word", F.array_distinct(F.split("word", "-", -1)).alias("parts"))
-        .select("doc_id", "word", F.size("parts").alias("need"), F.explode("parts").alias("part"))
+    compounds = books.select(
+        "doc_id", F.explode(F.array_distinct(_compounds(F.col("text")))).alias("word")
     )
-    on_lines = lines(books).select(
-        "doc_id",
-        "line_no",
-        F.explode(F.array_distinct(book_words(F.col("text")))).alias("part"),
+    parts = compounds.select(
+        "doc_id", "word", F.array_distinct(F.split("word", "-", -1)).alias("parts")
+    ).select("doc_id", "word", F.size("parts").alias("need"), F.explode("parts").alias("part"))
+
+    def on_lines(wanted: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                line_array(F.col("text")),
+                lambda x, i: F.transform(
+                    F.array_intersect(book_words(x), wanted),
+                    lambda w: F.struct(w.alias("part"), (i + 1).cast("long").alias("line_no")),
+                ),
+            )
+        )
+
+    wanted = F.flatten(F.transform(_compounds(F.col("text")), lambda w: F.split(w, "-", -1)))
+    hits = books.filter(F.contains("text", F.lit("-"))).select(
+        "doc_id", F.inline(let(wanted, on_lines))
     )
     return (
-        parts.join(on_lines, ["doc_id", "part"])
+        parts.join(hits, ["doc_id", "part"])
         .groupBy("doc_id", "word", "line_no", "need")
         .agg(F.count("*").alias("have"))
         .filter("have = need")
         .select("doc_id", "word", "line_no")
     )
+
+
+def _compounds(text: Column) -> Column:
+    return F.filter(doc_words(text), lambda w: matches(w, r"[^-]-[^-]"))

@@ -106,6 +106,8 @@ QUOTES = [
     (" die ", " die’ "),
     (" und ", " “und "),
     (" in ", " in” "),
+    (" un ", ".“un‘ "),
+    (" los ", " so”los "),
     ("ing ", "in’ "),
     (" h", " ’"),
     ("es ", "es’ "),

@@ -104,11 +104,16 @@ def spell_words_sql(text: str) -> str:
     )
 
 
+def upper_sql(w: str) -> str:
+    """Upper case letter for letter: the sharp s has none."""
+    return f"replace(upper({w}), 'ẞ', 'ß')"
+
+
 def title_sql(w: str) -> str:
     starts = r"^[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f\x{85}\p{Z}]$"
     return (
         f"array_to_string(list_transform(range(1, length({w}) + 1), lambda i: CASE WHEN i = 1 OR "
-        f"regexp_matches(substr({w}, i - 1, 1), {q(starts)}) THEN upper(substr({w}, i, 1)) "
+        f"regexp_matches(substr({w}, i - 1, 1), {q(starts)}) THEN {upper_sql(f'substr({w}, i, 1)')} "
         f"ELSE substr({w}, i, 1) END), '')"
     )
 
@@ -122,7 +127,7 @@ VOCAB = """
 v AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM b GROUP BY doc_id, word)"""
 
 
-def with_context(relation: str, keep: str, text: str = "text", at: str = "at") -> str:
+def with_context(relation: str, keep: str, text: str = "text", at: str = "pos") -> str:
     """``SELECT keep, context`` around the 0-based position ``at``."""
     side, width = fx.CONTEXT_SIDE, fx.CONTEXT_WIDTH
     return rf"""
@@ -143,9 +148,9 @@ def spans(relation: str, keys: str, text: str, pattern: str) -> str:
     marked = f"regexp_replace({text}, {q('(' + pattern + ')')}, {q(chr(1) + chr(92) + '1' + chr(2))}, 'g')"
     first_only = marked
     return f"""
-SELECT {keys}, {text} AS text, at::BIGINT AS at, split_part(piece, chr(2), 1) AS item FROM (
+SELECT {keys}, {text} AS text, pos::BIGINT AS pos, split_part(piece, chr(2), 1) AS item FROM (
   SELECT *, sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY {keys} ORDER BY k
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos
   FROM (SELECT {keys}, {text}, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS k
         FROM (SELECT {keys}, {text}, string_split({first_only}, chr(1)) AS ps FROM ({relation}))))
 WHERE k > 1"""
@@ -392,19 +397,19 @@ def para_rule(key: str) -> str:
     keep = f"doc_id, para_no, {rule} AS rule, item"
     keys = "doc_id, para_no"
     if key == "para_upper_start":
-        rel = f"SELECT *, '' AS item, 0 AS at FROM p WHERE {has('text', fx.STARTS_UPPER)}"
+        rel = f"SELECT *, '' AS item, 0 AS pos FROM p WHERE {has('text', fx.STARTS_UPPER)}"
     elif key == "para_split":
-        rel = f"SELECT *, '' AS item, 0 AS at FROM p WHERE {has('text', fx.SPLIT_PARAGRAPH)}"
+        rel = f"SELECT *, '' AS item, 0 AS pos FROM p WHERE {has('text', fx.SPLIT_PARAGRAPH)}"
     elif key == "para_bad_end":
         base += """, st AS (SELECT doc_id, sum(contains(text, '.’')::INT) > sum(contains(text, '.”')::INT) AS british
             FROM l GROUP BY doc_id)"""
         body = "CASE WHEN ends_with(text, '_') THEN left(text, length(text) - 1) ELSE text END"
-        rel = f"""SELECT p.*, '' AS item, length(text) - 1 AS at FROM p JOIN st USING (doc_id)
+        rel = f"""SELECT p.*, '' AS item, length(text) - 1 AS pos FROM p JOIN st USING (doc_id)
             WHERE NOT starts_with(text, ' ') AND NOT CASE WHEN british
             THEN {has(body, fx.END_BRITISH)} ELSE {has(body, fx.END_AMERICAN)} END"""
     elif key == "para_missing_break":
         rel = (
-            f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY at) AS rn FROM "
+            f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS rn FROM "
             f"({spans('SELECT * FROM p', keys, 'text', fx.MISSING_BREAK)}) QUALIFY rn = 1"
         )
     elif key in ("para_stop_no_space", "para_stop_space"):
@@ -427,23 +432,23 @@ def para_rule(key: str) -> str:
         found = spans(f"SELECT {keys}, lower(text) AS low FROM p", keys, "low", pattern).replace(
             "low AS text", "low AS lowered"
         )
-        rel = f"SELECT s.doc_id, s.para_no, s.item, s.at, p.text FROM ({found}) s JOIN p USING (doc_id, para_no)"
+        rel = f"SELECT s.doc_id, s.para_no, s.item, s.pos, p.text FROM ({found}) s JOIN p USING (doc_id, para_no)"
     return base + with_context(rel, keep)
 
 
 def repeated_words() -> str:
     marked = rf"regexp_replace(text, '(\p{{L}}+)', {q(chr(1) + chr(92) + '1' + chr(2))}, 'g')"
     rel = f"""
-SELECT doc_id, para_no, text, word, pos + length(word) AS at FROM (
+SELECT doc_id, para_no, text, word, p0 + length(word) AS pos FROM (
   SELECT *, lead(word) OVER o AS next_word FROM (
     SELECT *, split_part(piece, chr(2), 1) AS word, split_part(piece, chr(2), 2) AS sep,
       sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id, para_no ORDER BY k
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p0
     FROM (SELECT doc_id, para_no, text, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS k
       FROM (SELECT *, string_split({marked}, chr(1)) AS ps FROM p))) WHERE k > 1
   WINDOW o AS (PARTITION BY doc_id, para_no ORDER BY k))
 WHERE word = next_word AND sep = ' ' AND length(word) > 1"""
-    return ctes(src(), LINES, PARAS) + with_context(rel, "doc_id, para_no, word", at="at::BIGINT")
+    return ctes(src(), LINES, PARAS) + with_context(rel, "doc_id, para_no, word", at="pos::BIGINT")
 
 
 # ------------------------------------------------------------- word lists etc.
@@ -455,15 +460,15 @@ gl AS (SELECT word FROM bw GROUP BY word HAVING count(*) >= {GOOD_FROM}),
 gq AS (SELECT replace(word, '''', '’') AS word FROM gl),
 gw AS MATERIALIZED (SELECT word FROM gq
     UNION SELECT {title_sql("word")} FROM gq WHERE lower(word) = word
-    UNION SELECT upper(word) FROM gq WHERE lower(word) = word OR {title_sql("word")} = word)"""
+    UNION SELECT {upper_sql("word")} FROM gq WHERE lower(word) = word OR {title_sql("word")} = word)"""
 SCANNOS = (
     "sl AS (SELECT unnest([" + ", ".join(q(w) for w in fx.COMMON_SCANNOS) + "]) AS word),"
     f"sc AS MATERIALIZED (SELECT word FROM sl UNION SELECT {title_sql('lower(word)')} FROM sl "
-    "UNION SELECT upper(lower(word)) FROM sl)"
+    f"UNION SELECT {upper_sql('lower(word)')} FROM sl)"
 )
 DICTIONARY = f"""
 dl AS (SELECT DISTINCT replace(lower(word), '''', '’') AS word FROM bw),
-dw AS MATERIALIZED (SELECT word FROM dl UNION SELECT {title_sql("word")} FROM dl UNION SELECT upper(word) FROM dl)"""
+dw AS MATERIALIZED (SELECT word FROM dl UNION SELECT {title_sql("word")} FROM dl UNION SELECT {upper_sql("word")} FROM dl)"""
 
 
 def word_marked(text: str, word: str) -> str:
@@ -476,7 +481,7 @@ def word_marked(text: str, word: str) -> str:
 def scannos() -> str:
     rel = f"SELECT doc_id, word, line_no, {word_marked('text', 'word')} AS text FROM t JOIN sc USING (word)"
     return ctes(src(), LINES, TOKENS, SCANNOS) + with_context(
-        f"SELECT *, strpos(text, '⟦') - 1 AS at FROM ({rel})", "doc_id, word, line_no"
+        f"SELECT *, strpos(text, '⟦') - 1 AS pos FROM ({rel})", "doc_id, word, line_no"
     )
 
 
@@ -489,7 +494,7 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY line_no)
 cj AS (SELECT cr.doc_id, cr.word, cr.line_no, greatest(n - 2, 0) AS n_more, {word_marked('l.text', 'cr.word')} AS text
     FROM cr JOIN cw USING (doc_id, word) JOIN l ON l.doc_id = cr.doc_id AND l.line_no = cr.line_no WHERE rn <= 2)"""
     return base + with_context(
-        "SELECT *, strpos(text, '⟦') - 1 AS at FROM cj", "doc_id, word, line_no, n_more::BIGINT AS n_more"
+        "SELECT *, strpos(text, '⟦') - 1 AS pos FROM cj", "doc_id, word, line_no, n_more::BIGINT AS n_more"
     )
 
 
@@ -599,7 +604,7 @@ def jeebies(form: str) -> str:
     base += f""",
 tr AS (SELECT doc_id, para_no, trim(text, {SPACES}) AS text FROM p),
 oc AS (SELECT doc_id, para_no, text, unnest(regexp_extract_all(lower(text), {q(triple)})) AS phrase FROM tr),
-sc AS (SELECT oc.*, coalesce(o.n, 0) AS n_own, a.n AS n_other, strpos(lower(text), oc.phrase) - 1 AS at FROM oc
+sc AS (SELECT oc.*, coalesce(o.n, 0) AS n_own, a.n AS n_other, strpos(lower(text), oc.phrase) - 1 AS pos FROM oc
     JOIN hb a ON a.form = '{other}' AND a.phrase = regexp_replace(oc.phrase, '{form}', '{other}')
     LEFT JOIN hb o ON o.form = '{form}' AND o.phrase = oc.phrase)"""
     rel = f"""SELECT *, CASE WHEN n_own = 0 THEN -1.0::DOUBLE ELSE n_other::DOUBLE / n_own END AS score FROM sc
@@ -644,7 +649,7 @@ pc AS (SELECT DISTINCT doc_id, unnest({spell_words_sql("word")}) AS word FROM v)
     return cloak + f"""
 un AS (SELECT doc_id, word FROM pc WHERE length(word) > 1 AND word NOT IN ({tails})
     AND NOT EXISTS (SELECT 1 FROM dw WHERE dw.word = pc.word)),
-us AS (SELECT un.doc_id, un.word, sum(CASE WHEN v.word IN (un.word, lower(un.word), upper(un.word),
+us AS (SELECT un.doc_id, un.word, sum(CASE WHEN v.word IN (un.word, lower(un.word), {upper_sql("un.word")},
         {title_sql("lower(un.word)")}) THEN v.n ELSE 0 END) AS uses
     FROM un LEFT JOIN v ON v.doc_id = un.doc_id AND lower(v.word) = lower(un.word) GROUP BY un.doc_id, un.word),
 su AS MATERIALIZED (SELECT doc_id, word FROM us WHERE coalesce(uses, 0) < {fx.COMMON_FROM})"""
@@ -655,12 +660,149 @@ def spelling(tail: str, good: bool = False) -> str:
     return ctes(src(), LINES, POSTINGS, VOCAB, *lists, suspects_ctes(good)) + tail
 
 
+# --------------------------------------------------------------- smart quotes
+
+
+def quote_ctes(seeds) -> str:
+    """Lines with apostrophes masked that need no dictionary, then candidates."""
+    m = twice("text", r"(\p{L})’(\p{L})", r"\1▿\2")
+    m = f"regexp_replace({m}, {q(fx.APOSTROPHE_AFTER)}, {q(chr(92) + '1' + chr(92) + '2▿' + chr(92) + '3')}, 'g')"
+    m = f"regexp_replace({m}, {q(fx.APOSTROPHE_BEFORE)}, {q(chr(92) + '1▿' + chr(92) + '2' + chr(92) + '3')}, 'g')"
+    joined = "regexp_extract(acc, '[^\n]*$') || ' ' || x"
+    closed = f"regexp_replace({joined}, {q(fx.SINGLE_QUOTED)}, {q('⸢' + chr(92) + '1⸣')}, 'g')"
+    last = "length(regexp_extract(acc, '[^\n]*$'))"
+    kinds = [("in", fx.ENDS_IN), ("h", fx.STARTS_APOSTROPHE), ("s", fx.ENDS_S)]
+    stems = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {q(p)}, 2)) AS stem FROM ql"
+        for k, p in kinds
+    )
+    return (
+        src(seeds)
+        + ","
+        + LINES
+        + f""",
+am AS (SELECT doc_id FROM l GROUP BY doc_id
+    HAVING sum(contains(text, '.’')::INT) <= sum(contains(text, '.”')::INT)),
+m4 AS (SELECT doc_id, line_no, {m} AS text FROM l JOIN am USING (doc_id)),
+aw AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(text, {q(fx.LEADING_APOSTROPHE)}, 2)) AS word
+    FROM m4) GROUP BY doc_id, word HAVING count(*) > 1),
+ak AS (SELECT doc_id, list(word) AS ks FROM aw GROUP BY doc_id),
+m5 AS (SELECT m4.doc_id, line_no, CASE WHEN ks IS NULL THEN text ELSE list_reduce(list_prepend(text, ks),
+    lambda acc, k: replace(acc, k, replace(k, '’', '▾'))) END AS text FROM m4 LEFT JOIN ak USING (doc_id)),
+m6 AS (SELECT doc_id, list_reduce(list_append(list(text ORDER BY line_no), ''), lambda acc, x:
+    left(acc, length(acc) - {last}) || left({closed}, {last}) || chr(10) || substr({closed}, {last} + 2)) AS text
+    FROM m5 GROUP BY doc_id),
+q1 AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM m6),
+q2 AS (SELECT doc_id, a, unnest(range(1, len(a))) AS line_no FROM q1),
+ql AS MATERIALIZED (SELECT doc_id, line_no, a[line_no] AS text FROM q2),
+st AS (SELECT DISTINCT doc_id, kind, stem, CASE kind WHEN 'in' THEN stem || 'g' WHEN 'h' THEN 'h' || stem ELSE stem END AS word
+    FROM ({stems})),"""
+        + BENCH
+        + ","
+        + DICTIONARY
+        + """,
+ca AS MATERIALIZED (SELECT doc_id, kind, stem, word FROM st WHERE word IN (SELECT word FROM dw))"""
+    )
+
+
+def scan_ctes() -> str:
+    """The stack scan as a fold over strings: stack, told marks, tags."""
+    acc = {n: f"split_part(acc, chr(1), {i})" for i, n in enumerate(["st", "told", "tags"], 1)}
+    mark, top = "substr(x, 1, 1)", f"right({acc['st']}, 1)"
+    opens = f"{mark} IN ('“', '‘')"
+    fits = f"(({mark} = '”' AND {top} = '“') OR ({mark} = '’' AND {top} = '‘'))"
+    again = f"({opens} AND {top} = {mark} AND NOT contains({acc['told']}, {mark}))"
+    tag = f"CASE {mark} WHEN '“' THEN 'CODQ' WHEN '‘' THEN 'COSQ' WHEN '”' THEN 'UCDQ' ELSE 'UCSQ' END"
+    return f""",
+kb AS (SELECT doc_id, list(CASE kind WHEN 'in' THEN stem || '’' WHEN 'h' THEN '’' || stem ELSE stem || 's’' END) AS ks
+    FROM ca GROUP BY doc_id),
+m9 AS (SELECT ql.doc_id, line_no, CASE WHEN ks IS NULL THEN text ELSE list_reduce(list_prepend(text, ks),
+    lambda acc, k: replace(acc, k, replace(k, '’', '▵'))) END AS text FROM ql LEFT JOIN kb USING (doc_id)),
+bk AS (SELECT *, trim(text, {SPACES}) = '' AS blank FROM m9),
+pg AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM bk),
+pl AS (SELECT doc_id, g, max(line_no) AS last_line FROM pg WHERE NOT blank GROUP BY doc_id, g),
+ev AS (SELECT doc_id, g, line_no, unnest(cs) AS mark, unnest(range(0, len(cs))) AS pos
+    FROM (SELECT *, string_split(text, '') AS cs FROM pg WHERE NOT blank AND regexp_matches(text, '[“”‘’]'))),
+fo AS (SELECT doc_id, g, list_reduce(list_prepend(chr(1) || chr(1),
+    list(mark || line_no || ',' || pos ORDER BY line_no, pos)), lambda acc, x:
+    CASE WHEN {opens} THEN {acc['st']} || {mark} WHEN {fits} THEN left({acc['st']}, length({acc['st']}) - 1)
+        ELSE {acc['st']} END || chr(1) || {acc['told']} || CASE WHEN {again} THEN {mark} ELSE '' END || chr(1) ||
+    {acc['tags']} || CASE WHEN {again} OR NOT ({opens} OR {fits}) THEN x || ',' || {tag} || ';' ELSE '' END) AS f
+    FROM ev WHERE mark IN ('“', '”', '‘', '’') GROUP BY doc_id, g),
+tg AS (SELECT doc_id, unnest(string_split(split_part(f, chr(1), 3), ';')) AS x FROM fo),
+sq AS MATERIALIZED (
+    SELECT doc_id, split_part(substr(x, 2), ',', 1)::BIGINT AS line_no, split_part(x, ',', 2)::BIGINT AS pos,
+        split_part(x, ',', 3) AS tag, left(x, 1) AS item FROM tg WHERE x <> ''
+    UNION ALL
+    SELECT fo.doc_id, last_line, -1, 'NESK', array_to_string(string_split(split_part(f, chr(1), 1), ''), ' ')
+    FROM fo JOIN pl ON pl.doc_id = fo.doc_id AND pl.g = fo.g WHERE split_part(f, chr(1), 1) <> '')"""
+
+
+def overlay() -> str:
+    return ctes(quote_ctes(C.QUOTES)) + scan_ctes() + """,
+tl AS (SELECT doc_id, line_no, list_sort(list((pos + 1000000)::VARCHAR || ',' || tag || ',' || item), 'DESC') AS ts
+    FROM sq GROUP BY doc_id, line_no)
+SELECT l.doc_id, l.line_no, CASE WHEN ts IS NULL THEN text ELSE list_reduce(list_prepend(text, ts), lambda acc, t:
+    CASE WHEN split_part(t, ',', 2) = 'NESK' THEN acc || '[@NESK ' || split_part(t, ',', 3) || ']'
+    ELSE left(acc, split_part(t, ',', 1)::BIGINT - 1000000) || '[@' || split_part(t, ',', 2) || ']' ||
+        substr(acc, split_part(t, ',', 1)::BIGINT - 999999) END) END AS text
+FROM l LEFT JOIN tl ON tl.doc_id = l.doc_id AND tl.line_no = l.line_no
+WHERE l.doc_id IN (SELECT doc_id FROM sq)"""
+
+
+# -------------------------------------------------------------- edit distance
+
+
+def edit_distance() -> str:
+    """One edit apart, by equal forms with one letter dropped.
+
+    Same length: the same place dropped from both leaves the same letters.
+    Lengths one apart: one place dropped from the longer leaves the shorter.
+    """
+    s = "lower(word)"
+    for old, new in fx.LIGATURES:
+        s = f"replace({s}, {q(old)}, {q(new)})"
+
+    def keys(name: str, source: str) -> str:
+        return f"""
+{name} AS MATERIALIZED (SELECT doc_id, x, k, CASE WHEN k = 0 THEN x ELSE left(x, k - 1) || substr(x, k + 1) END AS d, length(x) AS n
+    FROM (SELECT doc_id, x, unnest(range(0, length(x) + 1)) AS k FROM (SELECT DISTINCT doc_id, x FROM {source})))"""
+
+    return spelling(
+        f""",
+ss AS MATERIALIZED (SELECT v.doc_id, v.word AS suspect, v.n AS n_suspect, lower(v.word) AS s_plain, x FROM
+    (SELECT *, {s} AS x FROM v) v JOIN su ON su.doc_id = v.doc_id AND su.word = v.word
+    WHERE length(x) >= {fx.NEAR_MIN_LENGTH} OR regexp_replace(x, {q(fx.NEAR_PLAIN)}, '', 'g') <> ''),
+tt AS MATERIALIZED (SELECT doc_id, word AS near, n AS n_near, lower(word) AS x FROM v),"""
+        + keys("ks", "ss")
+        + ","
+        + keys("kt", "tt")
+        + f""",
+nr AS MATERIALIZED (SELECT DISTINCT a.doc_id, a.x AS s, b.x AS t FROM ks a JOIN kt b ON a.doc_id = b.doc_id AND a.d = b.d
+    AND ((a.k > 0 AND a.k = b.k AND a.n = b.n) OR (a.k = 0 AND b.k > 0 AND b.n = a.n + 1)
+        OR (b.k = 0 AND a.k > 0 AND a.n = b.n + 1))
+    WHERE a.x <> b.x AND a.x <> b.x || 's' AND a.x || 's' <> b.x
+    AND NOT ({has("a.x", fx.NUMERALS)} AND {has("b.x", fx.NUMERALS)})
+    AND replace(a.x, '-', '') <> replace(b.x, '-', '')),
+pr AS MATERIALIZED (SELECT ss.doc_id, suspect, n_suspect, s_plain, s, near, n_near, t,
+    row_number() OVER (PARTITION BY ss.doc_id ORDER BY s_plain, suspect, near) AS place
+    FROM nr JOIN ss ON ss.doc_id = nr.doc_id AND ss.x = nr.s JOIN tt ON tt.doc_id = nr.doc_id AND tt.x = nr.t),
+fi AS (SELECT doc_id, word, min(place) AS first FROM (SELECT doc_id, s_plain AS word, place FROM pr
+    UNION ALL SELECT doc_id, t, place FROM pr) GROUP BY doc_id, word),
+kp AS (SELECT pr.* FROM pr JOIN fi a ON a.doc_id = pr.doc_id AND a.word = s_plain
+    JOIN fi b ON b.doc_id = pr.doc_id AND b.word = t
+    WHERE s <> s_plain OR NOT (a.first < place AND b.first < place))
+SELECT doc_id, suspect, n_suspect, near, n_near FROM kp x WHERE NOT (s <> s_plain AND EXISTS (SELECT 1 FROM kp y
+    WHERE y.doc_id = x.doc_id AND y.suspect = x.near AND y.near = x.suspect AND y.place < x.place))"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "doc_lines": ctes(src(), LINES) + "SELECT doc_id, line_no, text FROM l",
         "good_words": ctes(BENCH, GOOD_LIST) + "SELECT word FROM gw",
         "scanno_list": ctes(BENCH)
-        + f" SELECT word FROM bw UNION SELECT {title_sql('lower(word)')} FROM bw UNION SELECT upper(lower(word)) FROM bw",
+        + f" SELECT word FROM bw UNION SELECT {title_sql('lower(word)')} FROM bw UNION SELECT {upper_sql('lower(word)')} FROM bw",
         "hebe_counts": hebe_counts(),
         "hebe_train": ctes(trained("TRUE")) + "SELECT form, phrase, n FROM hb",
         "findings_sink": ctes(src(C.TYPESET), LINES, NEAR)
@@ -686,7 +828,7 @@ def oracle_sql() -> dict[str, str]:
         + f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id,
         unnest(regexp_extract_all(text, {q(fx.LEADING_APOSTROPHE)}, 2)) AS word FROM l) GROUP BY doc_id, word HAVING count(*) > 1""",
         "context": ctes(src(), LINES)
-        + with_context("SELECT *, length(text) // 2 AS at FROM l", "doc_id, line_no"),
+        + with_context("SELECT *, length(text) // 2 AS pos FROM l", "doc_id, line_no"),
         "concordance": concordance(),
         "limited_report": ctes(src(), LINES, NEAR)
         + f""", h AS (SELECT check_name, doc_id, rule, line_no, n, text FROM ({all_line_hits()})),
@@ -734,6 +876,10 @@ def oracle_sql() -> dict[str, str]:
         "ok_words": spelling(
             "SELECT doc_id, word, n FROM v WHERE NOT EXISTS (SELECT 1 FROM su WHERE su.doc_id = v.doc_id AND su.word = v.word)"
         ),
+        "dictionary_candidates": ctes(quote_ctes(C.QUOTES)) + "SELECT doc_id, kind, stem, word FROM ca",
+        "smart_quote_scan": ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT doc_id, line_no, pos, tag, item FROM sq",
+        "quote_overlay": overlay(),
+        "edit_distance": edit_distance(),
         "jeebies_be": jeebies("be"),
         "jeebies_he": jeebies("he"),
     }

@@ -36,6 +36,16 @@ def is_blank(col: Column) -> Column:
     return trim_space(col) == ""
 
 
+# Letters whose upper case is more than one letter: left as they are.
+_EXPANDING = "ßŉǰΐΰև"
+_HELD = "\ue000\ue001\ue002\ue003\ue004\ue005"
+
+
+def upper_case(col: Column) -> Column:
+    """Upper case letter for letter, never changing the length."""
+    return F.translate(F.upper(F.translate(col, _EXPANDING, _HELD)), _HELD, _EXPANDING)
+
+
 def title_case(col: Column) -> Column:
     """Upper-case the first letter of every word and leave the rest alone.
 
@@ -46,7 +56,7 @@ def title_case(col: Column) -> Column:
     return F.array_join(
         F.transform(
             F.split(col, starts, -1),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
+            lambda w: F.concat(upper_case(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
         ),
         "",
     )

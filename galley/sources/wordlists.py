@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
-from galley.functions.text import find_all, title_case
+from galley.functions.text import find_all, title_case, upper_case
 from galley.operators.derived import plain_paragraphs
 from galley.sources.books import BOM, text_body
 
@@ -34,7 +34,7 @@ def good_words(listed: DataFrame) -> DataFrame:
                         F.when(
                             (F.lower("word") == F.col("word"))
                             | (title_case(F.col("word")) == F.col("word")),
-                            F.upper("word"),
+                            upper_case(F.col("word")),
                         ),
                     )
                 )
@@ -51,7 +51,7 @@ def scanno_list(listed: DataFrame) -> DataFrame:
         .select(
             F.explode(
                 F.array(
-                    F.col("word"), title_case(F.lower("word")), F.upper(F.lower("word"))
+                    F.col("word"), title_case(F.lower("word")), upper_case(F.lower("word"))
                 )
             ).alias("word")
         )
@@ -120,7 +120,7 @@ def dictionary(listed: DataFrame) -> DataFrame:
     return (
         listed.select(F.replace(F.col("word"), F.lit("'"), F.lit("’")).alias("word"))
         .select(
-            F.explode(F.array(F.col("word"), title_case(F.col("word")), F.upper("word"))).alias("word")
+            F.explode(F.array(F.col("word"), title_case(F.col("word")), upper_case(F.col("word")))).alias("word")
         )
         .distinct()
     )

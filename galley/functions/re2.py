@@ -8,6 +8,8 @@ constructs differently (Unicode-aware ``\\b``, ``\\s`` with the vertical tab,
 
 from __future__ import annotations
 
+import re
+
 _SPACE = r"\t\n\f\r "
 _WORD = "0-9A-Za-z_"
 _BOUNDARY = rf"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
@@ -20,6 +22,15 @@ UNICODE_SPACE = (
 )
 
 
+def _boundary(pattern: str, i: int) -> str:
+    """``\\b`` at ``i``; next to a plain word letter one side is enough."""
+    if re.match(rf"[{_WORD}](?![?*{{])", pattern[i + 2 :]):
+        return f"(?<![{_WORD}])"
+    if re.search(rf"(?<!\\)[{_WORD}]$", pattern[:i]):
+        return f"(?![{_WORD}])"
+    return _BOUNDARY
+
+
 def re2(pattern: str) -> str:
     """Java spelling of an RE2 pattern."""
     out: list[str] = []
@@ -32,7 +43,7 @@ def re2(pattern: str) -> str:
             if pair == r"\s":
                 out.append(_SPACE if in_class else f"[{_SPACE}]")
             elif pair == r"\b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_boundary(pattern, i))
             else:
                 out.append(pair)
             i += 2

@@ -12,10 +12,10 @@ from galley.functions.re2 import UNICODE_SPACE, re2
 
 def matches(col: Column, *patterns: str) -> Column:
     """True when any RE2 pattern is found in ``col``."""
-    found = F.lit(False)
-    for p in patterns:
-        found = found | col.rlike(re2(p))
-    return found
+    first, *rest = [col.rlike(re2(p)) for p in patterns]
+    for found in rest:
+        first = first | found
+    return first
 
 
 def find_all(col: Column, pattern: str, group: int = 0) -> Column:

@@ -129,29 +129,22 @@ def vocab_where(books: DataFrame, keep) -> DataFrame:
     )
 
 
-def quote_style(text: Column) -> Column:
-    """``struct(n_single, n_double)``: lines holding ``.’`` and ``.”``."""
-
-    def lines_with(lined: Column, mark: str) -> Column:
-        return F.size(F.filter(lined, lambda x: F.contains(x, F.lit(mark)))).cast("long")
-
-    return let(
-        line_array(text),
-        lambda a: F.struct(
-            lines_with(a, ".’").alias("n_single"), lines_with(a, ".”").alias("n_double")
-        ),
-    )
+def _lines_with(lined: Column, mark: str) -> Column:
+    return F.size(F.filter(lined, lambda x: F.contains(x, F.lit(mark)))).cast("long")
 
 
 def is_british(text: Column) -> Column:
-    return let(quote_style(text), lambda q: q["n_single"] > q["n_double"])
+    return let(line_array(text), lambda a: _lines_with(a, ".’") > _lines_with(a, ".”"))
 
 
 def punc_style(books: DataFrame) -> DataFrame:
     """British when more lines hold ``.’`` than ``.”``; else American."""
+    counted = let(
+        line_array(F.col("text")), lambda a: F.array(_lines_with(a, ".’"), _lines_with(a, ".”"))
+    )
     return (
-        books.select("doc_id", quote_style(F.col("text")).alias("q"))
-        .select("doc_id", "q.*")
+        books.select("doc_id", counted.alias("q"))
+        .select("doc_id", F.get("q", 0).alias("n_single"), F.get("q", 1).alias("n_double"))
         .withColumn(
             "punc_style",
             F.when(F.col("n_single") > F.col("n_double"), "British").otherwise("American"),

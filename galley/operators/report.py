@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
+from galley.plans.joins import durable
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -22,6 +23,8 @@ def limited_report(found: DataFrame, limit: int | None = None) -> DataFrame:
     """The rows of each (document, check, rule) a report shows, and how many
     more there are.  ``limit`` overrides the usual number for every check."""
     keys = ["doc_id", "check", "rule"]
+    # read for the totals and for the first rows: the checks run once
+    found = durable(found)
     totals = found.groupBy(*keys).agg(F.count("*").alias("n_total"))
     order = [
         F.when(F.col("check") == "long lines", -F.col("n")).otherwise(0),

@@ -57,8 +57,9 @@ def odd_words(books: DataFrame) -> DataFrame:
 
 
 def has_mixed_case(word: Column) -> Column:
-    plain = matches(word, fx.MIXED_CASE[0]) & matches(word, fx.MIXED_CASE[1])
-    quoted = matches(word, fx.MIXED_CASE_APOSTROPHE[0]) & matches(word, fx.MIXED_CASE_APOSTROPHE[1])
+    # the capital first: few words have one past their first letter
+    plain = matches(word, fx.MIXED_CASE[1]) & matches(word, fx.MIXED_CASE[0])
+    quoted = matches(word, fx.MIXED_CASE_APOSTROPHE[1]) & matches(word, fx.MIXED_CASE_APOSTROPHE[0])
     return F.when(F.startswith(word, F.lit("’")), quoted).otherwise(plain)
 
 

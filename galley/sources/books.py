@@ -44,15 +44,20 @@ def from_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def text_body(text: Column) -> Column:
     """The text with ``\\n`` line ends, no byte-order mark and no last line end."""
-    body = F.when(F.startswith(text, F.lit(BOM)), F.substr(text, F.lit(2))).otherwise(text)
+
+    def unmarked(t: Column) -> Column:
+        body = F.when(F.startswith(t, F.lit(BOM)), F.substr(t, F.lit(2))).otherwise(t)
+        return F.replace(body, F.lit("\r\n"), F.lit("\n"))
+
     return let(
-        F.replace(body, F.lit("\r\n"), F.lit("\n")),
+        let(text, unmarked),
         lambda b: F.when(F.endswith(b, F.lit("\n")), F.left(b, F.length(b) - 1)).otherwise(b),
     )
 
 
 def line_array(text: Column) -> Column:
     """Lines of a text without their ends; a last line end opens no line."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(text_body(text), "\n", -1)
+    none = F.array().cast("array<string>")
+    return let(
+        text, lambda t: F.when(t == "", none).otherwise(F.split(text_body(t), "\n", -1))
     )

@@ -10,7 +10,8 @@ from galley.functions.arrays import let
 from galley.functions.text import context, matches
 from galley.functions.words import line_words
 from galley.operators.derived import lines, postings, vocab_where
-from galley.plans.joins import Lookup
+from galley.operators.report import first_rows
+from galley.plans.joins import Lookup, durable
 
 
 def word_context(text: Column, word: Column, open_mark: str = "⟦", close_mark: str = "⟧") -> Column:
@@ -125,16 +126,20 @@ def concordance(books: DataFrame, words: DataFrame, shown: int | None = 2) -> Da
     many postings are beyond them.
     """
     wanted = words.select("doc_id", "word").distinct()
-    places = postings(books).join(wanted, ["doc_id", "word"], "left_semi")
+    places = durable(Lookup.of(wanted).join(postings(books), ["doc_id", "word"], "left_semi", ["line_no"]))
     per_line = places.groupBy("doc_id", "word", "line_no").agg(F.count("*").alias("n"))
     totals = places.groupBy("doc_id", "word").agg(F.count("*").alias("n_postings"))
     if shown is not None:
-        from galley.operators.report import first_rows
-
         per_line = first_rows(per_line, ["doc_id", "word"], [F.col("line_no")], shown)
-    joined = per_line.join(lines(books), ["doc_id", "line_no"]).join(totals, ["doc_id", "word"])
-    more = F.greatest(F.col("n_postings") - (shown or 0), F.lit(0)) if shown else F.lit(0)
-    return joined.select(
+    # the lines themselves stay where they are if the places are few
+    wanted_lines = Lookup.of(
+        per_line.join(totals, ["doc_id", "word"])
+        .groupBy("doc_id", "line_no")
+        .agg(F.collect_list(F.struct("word", "n_postings")).alias("words"))
+    )
+    found = wanted_lines.join(lines(books), ["doc_id", "line_no"], "inner", ["line_no"])
+    more = F.greatest(F.col("n_postings") - shown, F.lit(0)) if shown is not None else F.lit(0)
+    return found.select("doc_id", "line_no", "text", F.inline("words")).select(
         "doc_id",
         "word",
         "line_no",

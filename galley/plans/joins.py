@@ -52,7 +52,9 @@ class Lookup:
     def of(cls, table: DataFrame, limit: int = BROADCAST_BYTES, salts: int = SALTS) -> Lookup:
         stored = durable(table)
         widths = [
-            F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8)
+            F.coalesce(F.octet_length(F.col(c) if t == "string" else F.to_json(F.struct(c))), F.lit(0))
+            if t == "string" or t.startswith("array")
+            else F.lit(8)
             for c, t in stored.dtypes
         ]
         per_row = sum(widths[1:], widths[0]) + 16 * len(widths)

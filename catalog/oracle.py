@@ -498,7 +498,7 @@ cj AS (SELECT cr.doc_id, cr.word, cr.line_no, greatest(n - 2, 0) AS n_more, {wor
     )
 
 
-def mixed_case() -> str:
+def mixed_case(good: bool = True) -> str:
     def cond(pats):
         return " AND ".join(has("word", p) for p in pats)
 
@@ -508,7 +508,7 @@ def mixed_case() -> str:
 m AS (SELECT * FROM t WHERE CASE WHEN starts_with(word, '’') THEN {cond(fx.MIXED_CASE_APOSTROPHE)}
     ELSE {cond(fx.MIXED_CASE)} END)
 SELECT m.doc_id, m.word, m.line_no FROM m LEFT JOIN v ON v.doc_id = m.doc_id AND v.word = m.word
-WHERE coalesce(v.n, 0) < 2 AND NOT EXISTS (SELECT 1 FROM gw WHERE contains(m.word, gw.word))"""
+WHERE coalesce(v.n, 0) < 2 {"AND NOT EXISTS (SELECT 1 FROM gw WHERE contains(m.word, gw.word))" if good else ""}"""
     )
 
 
@@ -753,7 +753,7 @@ WHERE l.doc_id IN (SELECT doc_id FROM sq)"""
 # -------------------------------------------------------------- edit distance
 
 
-def edit_distance() -> str:
+def edit_distance(good: bool = False) -> str:
     """One edit apart, by equal forms with one letter dropped.
 
     Same length: the same place dropped from both leaves the same letters.
@@ -793,7 +793,70 @@ kp AS (SELECT pr.* FROM pr JOIN fi a ON a.doc_id = pr.doc_id AND a.word = s_plai
     JOIN fi b ON b.doc_id = pr.doc_id AND b.word = t
     WHERE s <> s_plain OR NOT (a.first < place AND b.first < place))
 SELECT doc_id, suspect, n_suspect, near, n_near FROM kp x WHERE NOT (s <> s_plain AND EXISTS (SELECT 1 FROM kp y
-    WHERE y.doc_id = x.doc_id AND y.suspect = x.near AND y.near = x.suspect AND y.place < x.place))"""
+    WHERE y.doc_id = x.doc_id AND y.suspect = x.near AND y.near = x.suspect AND y.place < x.place))""",
+        good,
+    )
+
+
+# -------------------------------------------------------------------- summary
+
+
+def text_check_parts(seeds, good: bool) -> list[tuple[str, str, str]]:
+    """``(check, rule expression, SQL)`` of the common text checks."""
+
+    def on(sql: str, own=None) -> str:
+        return sql.replace(src(own), src(seeds))
+
+    parts = [(c, "rule", on(line_check(c))) for c in LINE_CHECKS]
+    parts += [
+        ("special situations", "rule", on(odd_words(), C.SITUATIONS)),
+        ("special situations", "'mixed case within word'", on(mixed_case(good), C.SITUATIONS)),
+        ("scannos", "'scannos'", on(scannos())),
+        ("spacing pattern", "'spacing pattern'", f"SELECT * FROM ({on(spacing(), C.SPACING)}) WHERE suspect = 1"),
+        ("headers", "'headers'", on(headers(), C.SPACING)),
+        ("duplicate lines", "'duplicate lines'", on(duplicates())),
+        ("rare characters", "'rare characters'", on(rare_chars())),
+        ("footnotes", "'footnote'", on(series(fx.FOOTNOTE_LABEL, anchors=False), C.NOTES)),
+        ("footnotes", "'footnote anchor'", on(series(fx.FOOTNOTE_ANCHOR, anchors=True), C.NOTES)),
+        ("book level", "rule", on(book_level(), C.TYPESET)),
+        ("book level", "'repeated line'", on(repeated_lines())),
+        ("repeated words", "'repeated words'", on(repeated_words())),
+    ]
+    return parts + [("paragraph level", "rule", on(para_rule(k), C.PARAGRAPHS)) for k in PARA_KEYS]
+
+
+def all_parts(seeds) -> list[tuple[str, str, str]]:
+    """Every family."""
+
+    def on(sql: str, own=None) -> str:
+        return sql.replace(src(own), src(seeds))
+
+    pairs = hyphen_pairs() + "SELECT * FROM hp"
+    tags = ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT * FROM sq"
+    return text_check_parts(seeds, good=True) + [
+        ("hyphenation", "'solid and hyphenated'", on(pairs, C.TYPESET)),
+        ("hyphenation", "form", on(hyphen_space(), C.HYPHENS)),
+        ("smart quotes", "tag", on(tags, C.QUOTES)),
+        ("spelling", "'suspect word'", on(spelling("SELECT * FROM su", good=True))),
+        ("edit distance", "'near word'", on(edit_distance(good=True))),
+        ("he/be", "'query be'", on(jeebies("be"))),
+        ("he/be", "'query he'", on(jeebies("he"))),
+    ]
+
+
+def summary(parts: list[tuple[str, str, str]]) -> str:
+    union = " UNION ALL ".join(
+        f"SELECT {q(check)} AS c, r, n FROM (SELECT {rule} AS r, count(*) AS n FROM ({sql}) GROUP BY ALL) WHERE n > 0"
+        for check, rule, sql in parts
+    )
+    return f"""SELECT coalesce(c, 'ALL') AS "check", coalesce(r, 'ALL') AS rule, sum(n)::BIGINT AS n,
+    grouping(c, r)::BIGINT AS level FROM ({union}) GROUP BY ROLLUP (c, r)"""
+
+
+def repeated_lines() -> str:
+    return (
+        ctes(src(), LINES, NEAR)
+        + f"SELECT doc_id, line_no, text FROM w WHERE text = after AND strlen(text) > {fx.REPEATED_LINE_OVER_BYTES}"
     )
 
 
@@ -869,8 +932,7 @@ def oracle_sql() -> dict[str, str]:
         "gut_mixed_case": mixed_case(),
         "book_level": book_level(),
         "book_level_counts": book_counts(),
-        "repeated_lines": ctes(src(), LINES, NEAR)
-        + f"SELECT doc_id, line_no, text FROM w WHERE text = after AND strlen(text) > {fx.REPEATED_LINE_OVER_BYTES}",
+        "repeated_lines": repeated_lines(),
         "spell_suspects": spelling("SELECT doc_id, word FROM su"),
         "spell_suspects_good_words": spelling("SELECT doc_id, word FROM su", good=True),
         "ok_words": spelling(
@@ -880,6 +942,8 @@ def oracle_sql() -> dict[str, str]:
         "smart_quote_scan": ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT doc_id, line_no, pos, tag, item FROM sq",
         "quote_overlay": overlay(),
         "edit_distance": edit_distance(),
+        "summary": summary(text_check_parts(None, good=False)),
+        "run_checks": summary(all_parts(C.TYPESET)),
         "jeebies_be": jeebies("be"),
         "jeebies_he": jeebies("he"),
     }

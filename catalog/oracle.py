@@ -552,7 +552,7 @@ def hyphen_space() -> str:
         + r""",
 cd AS (SELECT DISTINCT doc_id, compound, replace(compound, '-', ' ') AS phrase FROM hc),
 sp AS (SELECT cd.doc_id, compound, phrase, l.line_no FROM cd JOIN l ON l.doc_id = cd.doc_id
-    AND regexp_matches(l.text, '(?i)\P{L}' || phrase || '\P{L}')),
+    AND contains(lower(l.text), phrase) AND regexp_matches(l.text, '(?i)\P{L}' || phrase || '\P{L}')),
 hit AS (SELECT DISTINCT doc_id, compound, phrase FROM sp)
 SELECT doc_id, compound, phrase, 'spaced' AS form, line_no FROM sp
 UNION ALL

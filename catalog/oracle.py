@@ -478,9 +478,12 @@ def word_marked(text: str, word: str) -> str:
     )
 
 
-def scannos() -> str:
+def scannos(good: bool = False) -> str:
     rel = f"SELECT doc_id, word, line_no, {word_marked('text', 'word')} AS text FROM t JOIN sc USING (word)"
-    return ctes(src(), LINES, TOKENS, SCANNOS) + with_context(
+    lists = [BENCH, GOOD_LIST] if good else []
+    if good:
+        rel += " WHERE word NOT IN (SELECT word FROM gw)"
+    return ctes(src(), LINES, TOKENS, SCANNOS, *lists) + with_context(
         f"SELECT *, strpos(text, '⟦') - 1 AS pos FROM ({rel})", "doc_id, word, line_no"
     )
 
@@ -811,7 +814,7 @@ def text_check_parts(seeds, good: bool) -> list[tuple[str, str, str]]:
     parts += [
         ("special situations", "rule", on(odd_words(), C.SITUATIONS)),
         ("special situations", "'mixed case within word'", on(mixed_case(good), C.SITUATIONS)),
-        ("scannos", "'scannos'", on(scannos())),
+        ("scannos", "'scannos'", on(scannos(good))),
         ("spacing pattern", "'spacing pattern'", f"SELECT * FROM ({on(spacing(), C.SPACING)}) WHERE suspect = 1"),
         ("headers", "'headers'", on(headers(), C.SPACING)),
         ("duplicate lines", "'duplicate lines'", on(duplicates())),
@@ -923,6 +926,7 @@ def oracle_sql() -> dict[str, str]:
         "footnotes": series(fx.FOOTNOTE_LABEL, anchors=False),
         "footnote_anchors": series(fx.FOOTNOTE_ANCHOR, anchors=True),
         "scannos": scannos(),
+        "scannos_without_good_words": scannos(good=True),
         "floating_quote": line_check("curly quotes", C.TYPESET, ["floating quote"]),
         "quote_direction": line_check("curly quotes", C.QUOTES, ["quote direction"]),
         "gut_line_rules": line_check("special situations", C.SITUATIONS),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -188,6 +187,9 @@ def queries() -> dict[str, Query]:
         "footnotes": _on(layout_checks.footnotes, C.NOTES),
         "footnote_anchors": _on(layout_checks.footnote_anchors, C.NOTES),
         "scannos": lambda s, sf: word_checks.scannos(C.documents(s, sf), scanno_words(s)),
+        "scannos_without_good_words": lambda s, sf: word_checks.scannos(
+            C.documents(s, sf), word_checks.scannos_without(scanno_words(s), good(s, sf))
+        ),
         "floating_quote": _line_check("curly quotes", C.TYPESET, ["floating quote"]),
         "quote_direction": _line_check("curly quotes", C.QUOTES, ["quote direction"]),
         "gut_line_rules": _line_check("special situations", C.SITUATIONS),

@@ -34,9 +34,9 @@ def scannos(books: DataFrame, scanno_words: Lookup) -> DataFrame:
     )
 
 
-def scannos_without(scanno_words: DataFrame, good: DataFrame) -> DataFrame:
+def scannos_without(scanno_words: Lookup, good: Lookup) -> Lookup:
     """Scanno forms the user has not declared good."""
-    return scanno_words.join(good, "word", "left_anti")
+    return Lookup.of(scanno_words.table.join(good.table, "word", "left_anti"))
 
 
 def odd_words(books: DataFrame) -> DataFrame:

@@ -230,6 +230,14 @@ def test_good_words_and_scannos(books, spark):
     ]
 
 
+def test_good_words_are_no_scannos(books, spark):
+    listed = Lookup.of(wordlists.common_scannos(spark))
+    good = Lookup.of(spark.createDataFrame([("arid",)], "word string"))
+    left = word_checks.scannos_without(listed, good)
+    hits = word_checks.scannos(books("the arid Arid car"), left).collect()
+    assert sorted(r.word for r in hits) == ["Arid", "car"]
+
+
 def test_good_words_are_cloaked(books, spark):
     good = Lookup.of(spark.createDataFrame([("avec-trollop",)], "word string"))
     known = Lookup.of(spark.createDataFrame([("the",)], "word string"))

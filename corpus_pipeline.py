@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galley.llm import quality, simhash
+from galley.llm import decontaminate, lines, quality, simhash
 from galley.plans.joins import use_checkpoint_dir
 
 
@@ -21,14 +22,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("_quality >= 0.5").drop("_quality")
 
 
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that stand elsewhere already.
+
+    A document that loses all it has goes; ``n_chars`` follows the text.
+    """
+    done = lines.drop_repeated_chunks(docs)
+    some = (F.col("lines_dropped") == 0) | (F.trim("text") != "")
+    n_chars = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.filter(some).withColumn("n_chars", n_chars).select(docs.columns)
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
     return simhash.keep_one_of_each_group(docs)
 
 
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("quality classifier", good_quality),
+    ("line dedup", fresh_lines),
     ("SimHash near-dedup", one_of_near_copies),
+    ("benchmark decontamination", no_benchmark),
 ]
 
 # A trained network and hash-chosen chunks have no SQL; see tests/llm/test_pipeline.py.

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import quality, simhash
+from galley.llm import decontaminate, lines, quality, simhash
 from galley.llm.common import documents
 
 
+def _decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontaminate.contamination(documents(spark, sf), items).drop("spans")
+
+
+def _line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.line_dedup(documents(spark, sf))
+
+
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -19,8 +28,43 @@ def _simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_quality_classifier": _quality, "op10_simhash_near_dedup": _simhash}
+    return {
+        "op1_decontamination": _decontaminate,
+        "op3_line_dedup": _line_dedup,
+        "op6_quality_classifier": _quality,
+        "op10_simhash_near_dedup": _simhash,
+    }
+
+
+# --- the same results as SQL; the others are tested against brute force ---------
+
+_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS w, list_slice(words, i, i + 9) AS win
+  FROM b, unnest(range(1, greatest(len(words) - 8, 2))) AS r(i) WHERE len(words) > 0
+), dw AS (
+  SELECT doc_id, i, w, list_slice(words, i, i + w - 1) AS win
+  FROM d, (SELECT DISTINCT w FROM bw), unnest(range(1, len(words) - w + 2)) AS r(i) WHERE len(words) >= w
+), hits AS (
+  SELECT dw.doc_id, dw.i, dw.w, bw.item_id FROM dw JOIN bw USING (w, win)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, w)) AS r(k) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": _DECONTAMINATION}

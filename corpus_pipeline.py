@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, lines, quality, simhash
+from galley.llm import bpe, decontaminate, lines, quality, simhash
 from galley.plans.joins import use_checkpoint_dir
 
 
@@ -43,11 +43,24 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, and whether these decode to the text again."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn(
+        "round_trip", bpe.decoder(spark, ranks)("ids") == text
+    )
+
+
 STAGES = [
     ("quality classifier", good_quality),
     ("line dedup", fresh_lines),
     ("SimHash near-dedup", one_of_near_copies),
     ("benchmark decontamination", no_benchmark),
+    ("byte-level BPE", tokens),
 ]
 
 # A trained network and hash-chosen chunks have no SQL; see tests/llm/test_pipeline.py.

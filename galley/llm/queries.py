@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, lines, quality, simhash
+from galley.llm import bpe, decontaminate, lines, quality, simhash
 from galley.llm.common import documents
 
 
@@ -13,6 +14,20 @@ def _decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf), items).drop("spans")
 
 
+def _bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.digest_of_ids(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe.decoder(spark, ranks)("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 def _line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_dedup(documents(spark, sf))
 
@@ -30,6 +45,7 @@ def _simhash(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontamination": _decontaminate,
+        "op2_byte_bpe": _bpe,
         "op3_line_dedup": _line_dedup,
         "op6_quality_classifier": _quality,
         "op10_simhash_near_dedup": _simhash,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, decontaminate, lines, quality, secrets, simhash
+from galley.llm import bpe, decontaminate, lines, pii, quality, secrets, simhash
 from galley.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(docs, model)
 
 
+def _pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan(documents(spark, sf))
+
+
 def _secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(documents(spark, sf))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op2_byte_bpe": _bpe,
         "op3_line_dedup": _line_dedup,
         "op6_quality_classifier": _quality,
+        "op8_pii": _pii,
         "op9_secret_scan": _secrets,
         "op10_simhash_near_dedup": _simhash,
     }

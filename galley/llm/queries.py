@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, decontaminate, lines, pii, quality, secrets, simhash
+from galley.llm import bpe, decontaminate, lines, pages, pii, quality, secrets, simhash
 from galley.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def _line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_dedup(documents(spark, sf))
 
 
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op1_decontamination": _decontaminate,
         "op2_byte_bpe": _bpe,
         "op3_line_dedup": _line_dedup,
+        "op5_html_extraction": _pages,
         "op6_quality_classifier": _quality,
         "op8_pii": _pii,
         "op9_secret_scan": _secrets,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, decontaminate, lines, pages, pii, quality, secrets, simhash
+from galley.llm import bpe, decontaminate, embeddings, lines, pages, pii, quality, secrets, simhash
 from galley.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def _line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_dedup(documents(spark, sf))
 
 
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(spark.read.parquet(f"{sf}/pages.parquet"))
 
@@ -59,6 +63,7 @@ def queries() -> dict:
         "op1_decontamination": _decontaminate,
         "op2_byte_bpe": _bpe,
         "op3_line_dedup": _line_dedup,
+        "op4_embedding_near_dedup": _embeddings,
         "op5_html_extraction": _pages,
         "op6_quality_classifier": _quality,
         "op8_pii": _pii,
@@ -97,5 +102,23 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
 
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
+), links AS (
+  SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id))::BIGINT AS component_id,
+  least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _DECONTAMINATION}
+    return {"op1_decontamination": _DECONTAMINATION, "op4_embedding_near_dedup": _EMBEDDINGS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, decontaminate, embeddings, lines, pages, pii, quality, secrets, simhash
+from galley.llm import bpe, decontaminate, embeddings, lines, pages, pii, quality, secrets, simhash, substrings
 from galley.llm.common import documents
 
 
@@ -46,6 +46,12 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(docs, model)
 
 
+def _substrings(spark: SparkSession, sf: str) -> DataFrame:
+    done = substrings.substring_dedup(documents(spark, sf))
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return done.select("doc_id", "n_words", "n_removed", digest)
+
+
 def _pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan(documents(spark, sf))
 
@@ -66,6 +72,7 @@ def queries() -> dict:
         "op4_embedding_near_dedup": _embeddings,
         "op5_html_extraction": _pages,
         "op6_quality_classifier": _quality,
+        "op7_substring_dedup": _substrings,
         "op8_pii": _pii,
         "op9_secret_scan": _secrets,
         "op10_simhash_near_dedup": _simhash,
@@ -120,5 +127,25 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
 
+_SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), wins AS (
+  SELECT doc_id, i, list_slice(words, i, i + 12) AS win FROM d, unnest(range(1, len(words) - 11)) AS r(i)
+), firsts AS (
+  SELECT win, min(doc_id) AS lowest FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM wins JOIN firsts USING (win), unnest(range(0, 13)) AS r(k) WHERE lowest < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _DECONTAMINATION, "op4_embedding_near_dedup": _EMBEDDINGS}
+    return {"op1_decontamination": _DECONTAMINATION, "op4_embedding_near_dedup": _EMBEDDINGS, "op7_substring_dedup": _SUBSTRINGS}

@@ -18,8 +18,7 @@ from galley.plans.joins import use_checkpoint_dir
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_documents(docs, model, "_quality")
-    return scored.filter("_quality >= 0.5").drop("_quality")
+    return docs.filter(model.scorer(spark)(F.col("text").cast("string")) >= 0.5)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from galley.plans.joins import durable
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -24,10 +22,16 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def tasks_for(df: DataFrame, rows_per_task: int) -> int:
-    """Partitions that hold about so many rows each, never fewer than the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-df.count() // rows_per_task))
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, th``: a document whole, and what it is joined by.
+
+    Inside ``row`` no column of the document can clash with another.
+    """
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("th"),
+    )
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -27,7 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.common import text_or_empty
+from galley.llm.common import set_aside, text_or_empty
 from galley.plans.joins import durable
 
 WINDOW = 10
@@ -224,6 +224,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     bad = durable(window_hits(docs, items, size).filter(F.size("hits") > 0).select("doc_id", "th"))
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
     bad = F.broadcast(bad) if 32 * bad.count() <= BROADCAST_BYTES else bad
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (rows["_h"] == bad["_th"])
-    return rows.join(bad, same, "left_anti").drop("_h")
+    rows = set_aside(docs)
+    same = rows["doc_id"].eqNullSafe(bad["_id"]) & (rows["th"] == bad["_th"])
+    return rows.join(bad, same, "left_anti").select("row.*")

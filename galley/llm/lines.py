@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.common import text_or_empty
+from galley.llm.common import set_aside, text_or_empty
 
 
 def line_chunks(text: Column) -> Column:
@@ -79,25 +79,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` freed of repeated chunks, and three more columns:
-    ``lines_before``, ``lines_dropped`` and ``chunks_dropped``."""
+    """``docs`` with ``text`` freed of repeated chunks, and three more columns
+    (in place of any so named): ``lines_before``, ``lines_dropped`` and
+    ``chunks_dropped``."""
     gone = repeated_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "drop")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    joined = rows.join(
-        gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_th"]), "left"
-    )
-    chunks = line_chunks(F.col("text"))
+    rows = set_aside(docs)
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["th"] == gone["_th"]), "left")
+    text = F.col("row.text")
     is_kept = lambda _, i: ~F.array_contains("drop", i)
-    split = joined.withColumn("_kept", F.when(F.col("drop").isNotNull(), F.filter(chunks, is_kept)))
-    before = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    rest = F.array_join("_kept", "\n")
-    after = F.when(F.size("_kept") == 0, 0).otherwise(F.size(F.split(rest, "\n", -1)))
+    split = joined.select(
+        "row", "drop", F.when(F.col("drop").isNotNull(), F.filter(line_chunks(text), is_kept)).alias("kept")
+    )
+    before = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    rest = F.array_join("kept", "\n")
+    after = F.when(F.size("kept") == 0, 0).otherwise(F.size(F.split(rest, "\n", -1)))
+    counts = {
+        "lines_before": before,
+        "lines_dropped": F.when(F.col("drop").isNull(), 0).otherwise(before - after),
+        "chunks_dropped": F.coalesce(F.size("drop"), F.lit(0)),
+    }
     return split.select(
-        *[F.col(c) for c in docs.columns if c != "text"],
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        before.cast("long").alias("lines_before"),
-        F.when(F.col("drop").isNull(), 0).otherwise(before - after).cast("long").alias("lines_dropped"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("chunks_dropped"),
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text" and c not in counts],
+        F.when(F.col("drop").isNull(), text).otherwise(rest).alias("text"),
+        *[value.cast("long").alias(name) for name, value in counts.items()],
     )
 
 

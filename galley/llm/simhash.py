@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.common import components, ids_and_texts
+from galley.llm.common import components, ids_and_texts, set_aside
 from galley.plans.joins import durable
 
 SHINGLE = 4
@@ -178,8 +178,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
         F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("none")
     ).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("b"))
     keep = best.select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_th"))
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    kept = rows.join(
-        keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_h"] == keep["_th"]), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    rows = set_aside(docs)
+    same = rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["th"] == keep["_th"])
+    kept = rows.join(keep, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "th"]).select("row.*")

@@ -193,8 +193,19 @@ LIST_FILES = [
 ]
 
 
+# What a user declares right although the checks would report it: scannos that
+# are words of these languages, a prefix, spellings with a space, a sign, a capital.
+GOOD_WORDS = ["die", "bo", "tier", "attion", "ered", "thble", "it on", "of the", "'tis", "runI", "SSbe"]
+
+
+def tasks(spark: SparkSession) -> int | None:
+    """``galley.tasks`` of the session: deal these one-file tables to so many tasks."""
+    asked = spark.conf.get("spark.galley.tasks", None)
+    return int(asked) if asked else None
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return from_parquet(spark, f"{sf}/documents.parquet")
+    return from_parquet(spark, f"{sf}/documents.parquet", tasks=tasks(spark))
 
 
 def marked(spark: SparkSession, sf: str, seeds: list[tuple[str, str]]) -> DataFrame:
@@ -203,7 +214,7 @@ def marked(spark: SparkSession, sf: str, seeds: list[tuple[str, str]]) -> DataFr
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return from_parquet(spark, f"{sf}/pages.parquet", "page_id", "html")
+    return from_parquet(spark, f"{sf}/pages.parquet", "page_id", "html", tasks(spark))
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:

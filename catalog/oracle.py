@@ -8,7 +8,7 @@ matches come from splitting at marked matches.
 from __future__ import annotations
 
 from catalog import corpora as C
-from catalog.queries import GOOD_FROM, PARA_KEYS
+from catalog.queries import PARA_KEYS
 from galley.functions import fixed_values as fx
 from galley.functions.re2 import UNICODE_SPACE
 from galley.operators.line_checks import LINE_CHECKS, no_comma_pattern, no_period_pattern
@@ -456,7 +456,7 @@ WHERE word = next_word AND sep = ' ' AND length(word) > 1"""
 BENCH = f"""
 bw AS MATERIALIZED (SELECT unnest({spell_words_sql("regexp_replace(text, '[\r\n]+', ' ', 'g')")}) AS word FROM benchmark)"""
 GOOD_LIST = f"""
-gl AS (SELECT word FROM bw GROUP BY word HAVING count(*) >= {GOOD_FROM}),
+gl AS (SELECT unnest([{", ".join(q(w) for w in C.GOOD_WORDS)}]) AS word),
 gq AS (SELECT replace(word, '''', '’') AS word FROM gl),
 gw AS MATERIALIZED (SELECT word FROM gq
     UNION SELECT {title_sql("word")} FROM gq WHERE lower(word) = word
@@ -603,7 +603,7 @@ def jeebies(form: str) -> str:
     other = "he" if form == "be" else "be"
     triple = fx.TRIPLE_BE if form == "be" else fx.TRIPLE_HE
     limit = "> 1.0" if form == "be" else ">= 1.0"
-    base = ctes(src(), LINES, PARAS, trained("doc_id % 2 = 0"))
+    base = ctes(src(), LINES, PARAS, trained("TRUE"))
     base += f""",
 tr AS (SELECT doc_id, para_no, trim(text, {SPACES}) AS text FROM p),
 oc AS (SELECT doc_id, para_no, text, unnest(regexp_extract_all(lower(text), {q(triple)})) AS phrase FROM tr),
@@ -639,12 +639,13 @@ FROM r GROUP BY doc_id, form, phrase"""
 
 def suspects_ctes(good: bool = False) -> str:
     if good:
+        body = "replace(regexp_replace(src.text, '^\\x{FEFF}', ''), chr(13) || chr(10), chr(10))"
         cloak = f"""
-gm AS (SELECT w.word, list(g.word ORDER BY -length(g.word), g.word) AS gs
-    FROM (SELECT DISTINCT word FROM v) w JOIN gw g ON contains(w.word, g.word) GROUP BY w.word),
-ck AS (SELECT word, list_reduce(list_prepend(word, gs), lambda a, g: replace(a, g, '▷0◁')) AS c FROM gm),
-pc AS (SELECT DISTINCT v.doc_id, unnest({spell_words_sql("coalesce(c, v.word)")}) AS word
-    FROM v LEFT JOIN ck ON ck.word = v.word),"""
+gd AS (SELECT src.doc_id, list(g.word ORDER BY -length(g.word), g.word) AS gs
+    FROM src JOIN gw g ON contains(src.text, g.word) GROUP BY src.doc_id),
+ck AS (SELECT src.doc_id, list_reduce(list_prepend({body}, coalesce(gs, [])), lambda a, g: replace(a, g, '▷0◁')) AS c
+    FROM src LEFT JOIN gd ON gd.doc_id = src.doc_id),
+pc AS (SELECT DISTINCT doc_id, unnest({spell_words_sql("c")}) AS word FROM ck),"""
     else:
         cloak = f"""
 pc AS (SELECT DISTINCT doc_id, unnest({spell_words_sql("word")}) AS word FROM v),"""

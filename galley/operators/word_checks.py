@@ -137,7 +137,7 @@ def concordance(books: DataFrame, words: DataFrame, shown: int | None = 2) -> Da
         .groupBy("doc_id", "line_no")
         .agg(F.collect_list(F.struct("word", "n_postings")).alias("words"))
     )
-    found = wanted_lines.join(lines(books), ["doc_id", "line_no"], "inner", ["line_no"])
+    found = wanted_lines.join_unique(lines(books), ["doc_id", "line_no"], "inner")
     more = F.greatest(F.col("n_postings") - shown, F.lit(0)) if shown is not None else F.lit(0)
     return found.select("doc_id", "line_no", "text", F.inline("words")).select(
         "doc_id",

@@ -70,8 +70,15 @@ class Lookup:
         differ between rows of one key (the salt is a hash of them)."""
         if self.small:
             return large.join(F.broadcast(self.table), on, how)
+        if set(on) >= set(spread_by):  # a hash of the key itself spreads nothing
+            raise ValueError(f"{spread_by} do not differ between rows of one {on}")
         salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(self.salts)))
         copies = self.table.withColumn(
             "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.salts - 1).cast("long")))
         )
         return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+    def join_unique(self, large: DataFrame, on: list[str], how: str) -> DataFrame:
+        """``large JOIN lookup`` where ``large`` has few rows per key (a line, a
+        document): no key can be hot, so beyond the limit it is a plain join."""
+        return large.join(F.broadcast(self.table) if self.small else self.table, on, how)

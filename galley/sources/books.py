@@ -18,18 +18,19 @@ def from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def from_parquet(
-    spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Documents of a Parquet table, spread over the cluster.
+    """Documents of a Parquet table, in the splits of its files.
 
-    A table in fewer splits than there are cores (one small file, say) is
-    dealt out once; a large one already has more splits and is left alone.
+    ``tasks`` deals them out anew, for a table that one row group holds; left
+    out, nothing is shuffled, whatever the table's size.
     """
     books = from_table(spark.read.parquet(path), id_col, text_col)
-    cores = spark.sparkContext.defaultParallelism
-    if books.rdd.getNumPartitions() < cores:
-        books = books.repartition(cores, "doc_id")
-    return books
+    return books if tasks is None else books.repartition(tasks, "doc_id")
 
 
 def from_text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from galley.operators.line_checks import line_findings
-from galley.plans.joins import use_checkpoint_dir
 from galley.sources.books import from_table
 
 
@@ -22,13 +21,13 @@ def stream_books(
 
 
 def stream_line_findings(
-    books: DataFrame, target: str, checkpoint: str | None = None, checks: list[str] | None = None
+    books: DataFrame, target: str, checkpoint: str, checks: list[str] | None = None
 ) -> StreamingQuery:
-    """Write findings by check as documents arrive, then stop when caught up."""
-    if checkpoint is None:
-        spark = books.sparkSession
-        use_checkpoint_dir(spark)
-        checkpoint = spark.sparkContext.getCheckpointDir() + "/line-findings"
+    """Write findings by check as documents arrive, then stop when caught up.
+
+    ``checkpoint`` is a lasting folder of this stream alone: a later session
+    that names it again goes on where this one stopped.
+    """
     return (
         line_findings(books, checks)
         .writeStream.format("parquet")

@@ -1,8 +1,9 @@
 """Ordered work inside one array column (one document per row).
 
 ``let`` binds a value once, so that an array used in several places is built
-once however the optimizer rewrites the plan; every step stays linear in the
-length of the array.
+once however the optimizer rewrites the plan.  Steps are linear in the length of
+the array, or sort it; a fold that appends to an array copies it at each step,
+so ``running_sums`` folds in short blocks.
 """
 
 from __future__ import annotations
@@ -53,3 +54,64 @@ def counts(array: Column) -> Column:
         runs(F.sort_array(array), lambda x, prev: x != prev),
         lambda r: F.struct(r["first"].alias("word"), r["size"].alias("n")),
     )
+
+
+_BLOCK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of integers from 0 on, one more than there are numbers."""
+
+    def inner(block: Column) -> Column:
+        return F.aggregate(
+            block, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        )
+
+    def joined(blocks: Column) -> Column:
+        totals = inner(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(
+            totals,
+            lambda t: F.concat(
+                F.flatten(
+                    F.transform(
+                        blocks,
+                        lambda b, k: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + F.get(t, k)),
+                    )
+                ),
+                F.array(F.element_at(t, -1)),
+            ),
+        )
+
+    def cut(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(_BLOCK))
+        return let(F.transform(starts, lambda i: inner(F.slice(a, i, _BLOCK))), joined)
+
+    return let(numbers, cut)
+
+
+def meet(left: Column, right: Column) -> Column:
+    """Equal strings of two arrays: ``struct(key, l, r)``, with their 0-based
+    positions on either side.  Both are sorted together, so no pair is compared."""
+
+    def tagged(a: Column, side: int) -> Column:
+        return F.transform(a, lambda k, i: F.struct(k.alias("k"), F.lit(side).alias("side"), i.alias("i")))
+
+    def places(members: Column, side: int) -> Column:
+        return F.transform(F.filter(members, lambda m: m["side"] == side), lambda m: m["i"])
+
+    def groups(a: Column) -> Column:
+        both = F.filter(
+            runs(a, lambda x, prev: x["k"] != prev["k"]),
+            lambda r: (r["first"]["side"] == 0) & (r["last"]["side"] == 1),
+        )
+        return F.transform(
+            both,
+            lambda r: let(
+                F.slice(a, r["start"] + 1, r["size"].cast("int")),
+                lambda m: F.struct(
+                    r["first"]["k"].alias("key"), places(m, 0).alias("l"), places(m, 1).alias("r")
+                ),
+            ),
+        )
+
+    return let(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), groups)

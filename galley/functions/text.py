@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
-from galley.functions.arrays import let
+from galley.functions.arrays import let, running_sums
 from galley.functions.re2 import UNICODE_SPACE, re2
 
 
@@ -81,18 +81,6 @@ def context(text: Column, at: Column) -> Column:
     whole words; runs of spaces are closed up.
     """
 
-    def bounds(size: Column) -> Column:
-        left = at - fx.CONTEXT_SIDE
-        right = F.when(left < 0, F.lit(fx.CONTEXT_WIDTH)).otherwise(at + fx.CONTEXT_SIDE)
-        lo = (
-            F.when(right >= size, size - fx.CONTEXT_WIDTH)
-            .when(left < 0, F.lit(0))
-            .otherwise(left)
-        )
-        return F.struct(
-            F.greatest(lo, F.lit(0)).alias("lo"), F.least(right, size).alias("hi"), size.alias("size")
-        )
-
     def widen(b: Column) -> Column:
         back = F.instr(F.reverse(F.substr(text, F.lit(1), b["lo"] + 1)), " ")
         start = let(back, lambda k: F.when((b["lo"] > 0) & (k > 0), b["lo"] + 1 - k).otherwise(0))
@@ -103,8 +91,58 @@ def context(text: Column, at: Column) -> Column:
             lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]),
         )
 
-    snippet = trim_space(let(let(F.length(text), bounds), widen))
-    return replace_all(snippet, [("  ", " "), ("  ", " ")])
+    return _closed_up(let(let(F.length(text), lambda size: _bounds(at, size)), widen))
+
+
+_PIECE = 256
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces of equal length, for ``context_in``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def context_in(text: Column, pieces: Column, size: Column, at: Column) -> Column:
+    """``context(text, at)``, read from the few pieces around ``at``, so that a
+    long text is not walked again for each of its hits."""
+
+    def local(b: Column) -> Column:
+        first = F.greatest(F.floor(b["lo"] / _PIECE) - 1, F.lit(0)).cast("int")
+        last = (F.floor(b["hi"] / _PIECE) + 1).cast("int")
+        return F.struct(
+            b["lo"].alias("lo"),
+            b["hi"].alias("hi"),
+            (first * _PIECE).alias("base"),
+            F.array_join(F.slice(pieces, first + 1, last - first + 1), "").alias("part"),
+        )
+
+    def ends(b: Column) -> Column:
+        back = F.instr(F.reverse(F.substr(b["part"], F.lit(1), b["lo"] - b["base"] + 1)), " ")
+        ahead = F.call_function("locate", F.lit(" "), b["part"], b["hi"] - b["base"] + 1)
+        start = F.when((b["lo"] > 0) & (back > 0), b["lo"] + 1 - back).when(b["base"] == 0, 0)
+        end = F.when((b["hi"] < size) & (ahead > 0), b["base"] + ahead - 1).when(
+            (b["hi"] >= size) | (b["base"] + F.length(b["part"]) >= size), size
+        )
+        return F.struct(start.alias("start"), end.alias("end"), b["base"].alias("base"), b["part"].alias("part"))
+
+    def snippet(s: Column) -> Column:
+        return F.substr(s["part"], s["start"] - s["base"] + 1, s["end"] - s["start"])
+
+    near = let(let(let(_bounds(at, size), local), ends), snippet)
+    return F.coalesce(_closed_up(near), context(text, at))  # a word longer than a piece
+
+
+def _bounds(at: Column, size: Column) -> Column:
+    left = at - fx.CONTEXT_SIDE
+    right = F.when(left < 0, F.lit(fx.CONTEXT_WIDTH)).otherwise(at + fx.CONTEXT_SIDE)
+    lo = F.when(right >= size, size - fx.CONTEXT_WIDTH).when(left < 0, F.lit(0)).otherwise(left)
+    return F.struct(
+        F.greatest(lo, F.lit(0)).alias("lo"), F.least(right, size).alias("hi"), size.alias("size")
+    )
+
+
+def _closed_up(snippet: Column) -> Column:
+    return replace_all(trim_space(snippet), [("  ", " "), ("  ", " ")])
 
 
 def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
@@ -122,19 +160,23 @@ def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Col
     def part(group: int) -> Column:
         return F.regexp_extract_all(text, F.lit(gap_then), F.lit(group))
 
+    def placed(found: Column) -> Column:
+        steps = F.transform(found, lambda m: F.length(m["gap"]) + F.length(m["item"]))
+        return let(
+            running_sums(steps),
+            lambda ends: F.transform(
+                found,
+                lambda m, i: F.struct(
+                    (F.get(ends, i) + F.length(m["gap"])).alias("at"),
+                    m["item"].alias("item"),
+                    *[m[n].alias(n) for n in names],
+                ),
+            ),
+        )
+
     found = F.arrays_zip(
         part(1).alias("gap"),
         part(2).alias("item"),
         *[part(g + 2).alias(n) for g, n in zip(groups, names)],
     )
-
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["end"] + F.length(m["gap"])
-        span = F.struct(at.alias("at"), m["item"].alias("item"), *[m[n].alias(n) for n in names])
-        return F.struct(
-            (at + F.length(m["item"])).alias("end"),
-            F.concat(acc["spans"], F.array(span)).alias("spans"),
-        )
-
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("end"), empty.alias("spans")), step)
-    return F.when(text.rlike(re2(pattern)), folded["spans"]).otherwise(empty)
+    return F.when(text.rlike(re2(pattern)), let(found, placed)).otherwise(empty)

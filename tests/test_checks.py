@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -245,6 +246,23 @@ def test_good_words_are_cloaked(books, spark):
     assert sorted(r.word for r in got.collect()) == ["avec", "zag", "zig"]
 
 
+@pytest.mark.parametrize(
+    "good, left",
+    [
+        ("’tis", ["York", "Yorkville", "a", "goin", "New", "rose"]),
+        ("goin’", ["York", "Yorkville", "a", "tis", "New", "rose"]),
+        ("New York", ["a", "goin", "tis", "ville", "York", "rose"]),
+        ("rose", ["New", "York", "Yorkville", "a", "goin", "tis"]),
+    ],
+)
+def test_good_words_are_cloaked_where_they_stand(books, spark, good, left):
+    text = "so ’tis a rose\nNew Yorkville goin’ York roses ’tis"
+    listed = Lookup.of(spark.createDataFrame([(good,)], "word string"))
+    known = Lookup.of(spark.createDataFrame([("so",), ("s",), ("roses",)], "word string"))
+    got = spelling.spell_suspects(books(text, "so"), [known], listed)
+    assert {r.word for r in got.collect()} == {w for w in left if len(w) > 1}
+
+
 def test_families(books, spark):
     text = "A  line * here\nto-day to day x to day y\n\n“open quote"
     known = Lookup.of(spark.createDataFrame([("line",)], "word string"))

@@ -1,11 +1,16 @@
 """Plans and skew: what must hold on a large cluster."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from galley.operators import derived, layout_checks, line_checks, quotes
+from galley.functions.arrays import meet, running_sums
+from galley.operators import derived, hyphen_checks, layout_checks, line_checks, paragraph_checks, quotes
+from galley.operators.report import write_findings
 from galley.plans.joins import Lookup
+from galley.sources.books import from_parquet
 from galley.streaming.line_stream import stream_books, stream_line_findings
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +74,63 @@ def test_hot_key_is_spread_by_the_salt(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_salt_must_differ_within_a_key(spark):
+    table = Lookup.of(spark.createDataFrame([(1, 2, "x")], "doc_id int, line_no int, v string"), limit=0)
+    lines = spark.createDataFrame([(1, 2), (1, 3)], "doc_id int, line_no int")
+    with pytest.raises(ValueError):
+        table.join(lines, ["doc_id", "line_no"], "left", ["line_no"])
+    joined = table.join_unique(lines, ["doc_id", "line_no"], "left")
+    assert sorted(joined.collect()) == [(1, 2, "x"), (1, 3, None)] or joined.count() == 2
+
+
+def test_books_are_dealt_only_when_asked(spark):
+    path = f"{SF}/documents.parquet"
+    assert "Exchange" not in plan(from_parquet(spark, path))
+    assert from_parquet(spark, path, tasks=5).rdd.getNumPartitions() == 5
+
+
+def _dense(n: int) -> str:
+    """A document full of compounds, spaced, hyphened and solid, and of full stops."""
+    words = [f"a{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(n)]
+    return "\n".join(f"{w}-end {w} end {w}end.so  {w}.so" for w in words)
+
+
+@pytest.mark.parametrize(
+    "check",
+    [
+        hyphen_checks.hyphen_nonhyphen,
+        hyphen_checks.hyphen_space,
+        lambda b: paragraph_checks.para_level(b, [paragraph_checks.PARAGRAPH_RULES[1]]),
+    ],
+)
+def test_work_in_a_row_does_not_square(spark, check):
+    def seconds(n: int) -> float:
+        df = spark.createDataFrame([(1, _dense(n))], "doc_id long, text string")
+        begun = time.perf_counter()
+        assert check(df).count() >= n / 2
+        return time.perf_counter() - begun
+
+    seconds(500)
+    assert seconds(8000) < 2 + 8 * seconds(2000)  # four times the text
+
+
+def test_running_sums_and_meetings(spark):
+    one = spark.range(1).select(
+        running_sums(F.sequence(F.lit(1), F.lit(1000))).alias("sums"),
+        running_sums(F.array().cast("array<int>")).alias("none"),
+        meet(F.array(*map(F.lit, "abca")), F.array(*map(F.lit, "xcaa"))).alias("met"),
+    ).first()
+    assert one["sums"] == [k * (k + 1) // 2 for k in range(1001)] and one["none"] == [0]
+    assert [tuple(m) for m in one["met"]] == [("a", [0, 3], [2, 3]), ("c", [2], [1])]
+
+
+def test_findings_files_follow_the_rows(spark, tmp_path):
+    found = line_checks.line_findings(spark.read.parquet(f"{SF}/documents.parquet").repartition(40))
+    stored = write_findings(found, str(tmp_path / "out"))
+    assert stored.count() == found.count()
+    assert len(list((tmp_path / "out").glob("*/*.parquet"))) < 40
+
+
 def test_group_limit_comes_before_the_shuffle(spark):
     from galley.operators.report import first_rows
 
@@ -77,6 +139,18 @@ def test_group_limit_comes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
+def test_a_restarted_stream_loses_nothing(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for first in (0, 10):
+        rows = [(k, "a * b") for k in range(first, first + 10)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(source)
+        own = spark.newSession()
+        stream_line_findings(stream_books(own, source), target, state, ["asterisks"]).awaitTermination(120)
+    assert sorted(r.doc_id for r in spark.read.parquet(target).collect()) == list(range(20))
+    with pytest.raises(TypeError):
+        stream_line_findings(stream_books(spark, source), target)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     raw = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     source, target = str(tmp_path / "in"), str(tmp_path / "out")

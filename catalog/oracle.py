@@ -488,19 +488,41 @@ def scannos(good: bool = False) -> str:
     )
 
 
+def places_of(base: str, words: str, places: str = "b") -> str:
+    """First places of ``words(doc_id, word)``; ``places(doc_id, line_no, word)``."""
+    base += f""",
+ww AS (SELECT DISTINCT doc_id, word FROM ({words})),
+wo AS MATERIALIZED (SELECT o.* FROM {places} o JOIN ww USING (doc_id, word)),
+cw AS (SELECT doc_id, word, count(*) AS n FROM wo GROUP BY doc_id, word),
+cl AS (SELECT DISTINCT doc_id, word, line_no FROM wo),
+cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY line_no) AS rn FROM cl),
+cn AS (SELECT cr.doc_id, cr.word, cr.line_no, greatest(n - 2, 0)::BIGINT AS n_more
+    FROM cr JOIN cw USING (doc_id, word) WHERE rn <= 2)"""
+    return base
+
+
 def concordance() -> str:
     base = ctes(src(), LINES, POSTINGS, VOCAB)
+    base = places_of(base, f"SELECT doc_id, word FROM v WHERE {has('lower(word)', fx.NUMERALS)}")
     base += f""",
-cw AS (SELECT doc_id, word, n FROM v WHERE {has("lower(word)", fx.NUMERALS)}),
-cl AS (SELECT DISTINCT doc_id, word, line_no FROM b JOIN cw USING (doc_id, word)),
-cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY line_no) AS rn FROM cl),
-cj AS (SELECT cr.doc_id, cr.word, cr.line_no, greatest(n - 2, 0) AS n_more, {word_marked('l.text', 'cr.word')} AS text
-    FROM cr JOIN cw USING (doc_id, word) JOIN l ON l.doc_id = cr.doc_id AND l.line_no = cr.line_no WHERE rn <= 2)"""
+cj AS (SELECT cn.*, {word_marked('l.text', 'cn.word')} AS text
+    FROM cn JOIN l ON l.doc_id = cn.doc_id AND l.line_no = cn.line_no)"""
     return base + with_context(
         "SELECT *, strpos(text, '⟦') - 1 AS pos FROM cj", "doc_id, word, line_no, n_more::BIGINT AS n_more"
     )
 
 
+def suspect_lines(good: bool = False) -> str:
+    cut = f""",
+sw AS MATERIALIZED (SELECT doc_id, line_no, unnest({spell_words_sql("text")}) AS word FROM l)"""
+    return places_of(spelling(cut, good), "SELECT doc_id, word FROM su", "sw") + " SELECT * FROM cn"
+
+
+def near_pair_lines(good: bool = False) -> str:
+    pairs = f"SELECT doc_id, unnest([suspect, near]) AS word FROM ({edit_distance(good)})"
+    return places_of(ctes(src(), LINES, POSTINGS), pairs) + " SELECT * FROM cn"
+
+
 def mixed_case(good: bool = True) -> str:
     def cond(pats):
         return " AND ".join(has("word", p) for p in pats)
@@ -839,10 +861,13 @@ def all_parts(seeds) -> list[tuple[str, str, str]]:
     tags = ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT * FROM sq"
     return text_check_parts(seeds, good=True) + [
         ("hyphenation", "'solid and hyphenated'", on(pairs, C.TYPESET)),
+        ("hyphenation", "'line of solid or hyphenated'", on(hyphen_lines(), C.TYPESET)),
         ("hyphenation", "form", on(hyphen_space(), C.HYPHENS)),
         ("smart quotes", "tag", on(tags, C.QUOTES)),
         ("spelling", "'suspect word'", on(spelling("SELECT * FROM su", good=True))),
+        ("spelling", "'line of suspect word'", on(suspect_lines(good=True))),
         ("edit distance", "'near word'", on(edit_distance(good=True))),
+        ("edit distance", "'line of near word'", on(near_pair_lines(good=True))),
         ("he/be", "'query be'", on(jeebies("be"))),
         ("he/be", "'query he'", on(jeebies("he"))),
     ]
@@ -857,6 +882,13 @@ def summary(parts: list[tuple[str, str, str]]) -> str:
     grouping(c, r)::BIGINT AS level FROM ({union}) GROUP BY ROLLUP (c, r)"""
 
 
+def summary_by_doc(parts: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT doc_id, {q(check)} AS "check", {rule} AS rule, count(*) AS n FROM ({sql}) GROUP BY ALL"""
+        for check, rule, sql in parts
+    )
+
+
 def repeated_lines() -> str:
     return (
         ctes(src(), LINES, NEAR)
@@ -947,6 +979,10 @@ def oracle_sql() -> dict[str, str]:
         "smart_quote_scan": ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT doc_id, line_no, pos, tag, item FROM sq",
         "quote_overlay": overlay(),
         "edit_distance": edit_distance(),
+        "suspect_lines": suspect_lines(),
+        "near_pair_lines": near_pair_lines(),
+        "summary_by_doc": f"""SELECT doc_id, "check", rule, sum(n)::BIGINT AS n
+            FROM ({summary_by_doc(text_check_parts(None, good=False))}) GROUP BY ALL""",
         "summary": summary(text_check_parts(None, good=False)),
         "run_checks": summary(all_parts(C.TYPESET)),
         "jeebies_be": jeebies("be"),

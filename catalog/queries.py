@@ -127,6 +127,22 @@ def _edit_distance(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.edit_distance(books, spelling.spell_suspects(books, [dictionary(spark, sf)]))
 
 
+def _suspect_lines(spark: SparkSession, sf: str) -> DataFrame:
+    books = C.documents(spark, sf)
+    found = spelling.suspect_lines(books, spelling.spell_suspects(books, [dictionary(spark, sf)]))
+    return found.drop("context")
+
+
+def _near_pair_lines(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.near_pair_lines(C.documents(spark, sf), _edit_distance(spark, sf))
+    return found.drop("context")
+
+
+def _summary_by_doc(spark: SparkSession, sf: str) -> DataFrame:
+    lists = Lists(scannos=scanno_words(spark))
+    return report.summary_by_doc(run_checks(C.documents(spark, sf), lists, "t"))
+
+
 def _quote_scan(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.smart_quote_scan(C.marked(spark, sf, C.QUOTES), dictionary(spark, sf))
 
@@ -213,6 +229,9 @@ def queries() -> dict[str, Query]:
         ),
         "ok_words": _ok_words,
         "edit_distance": _edit_distance,
+        "suspect_lines": _suspect_lines,
+        "near_pair_lines": _near_pair_lines,
+        "summary_by_doc": _summary_by_doc,
         "jeebies_be": lambda s, sf: hebe.jeebies(C.documents(s, sf), hebe_table(s, sf), "be"),
         "jeebies_he": lambda s, sf: hebe.jeebies(C.documents(s, sf), hebe_table(s, sf), "he"),
     }

@@ -63,6 +63,11 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
+def summary_by_doc(found: DataFrame) -> DataFrame:
+    """Findings per document, check and rule, to rank documents by."""
+    return found.groupBy("doc_id", "check", "rule").agg(F.count("*").alias("n"))
+
+
 def write_findings(found: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Store findings by check and read them back.
 

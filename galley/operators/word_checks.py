@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
 from galley.functions.arrays import let
 from galley.functions.text import context, matches
-from galley.functions.words import line_words
-from galley.operators.derived import lines, postings, vocab_where
+from galley.functions.words import book_words, line_words
+from galley.operators.derived import lines, vocab_where
 from galley.operators.report import first_rows
 from galley.plans.joins import Lookup, durable
 
@@ -119,14 +121,18 @@ def containing_good_word(words: DataFrame, good: Lookup) -> DataFrame:
     return good_parts(words, good).select("word").distinct()
 
 
-def concordance(books: DataFrame, words: DataFrame, shown: int | None = 2) -> DataFrame:
+def concordance(
+    books: DataFrame, words: DataFrame, shown: int | None = 2, cut: Callable[[Column], Column] = book_words
+) -> DataFrame:
     """Lines showing chosen ``words(doc_id, word)``, the word marked.
 
+    ``cut`` is the way lines are cut into words, the vocabulary's or another.
     With ``shown`` only so many lines are kept per word; ``n_more`` tells how
     many postings are beyond them.
     """
     wanted = words.select("doc_id", "word").distinct()
-    places = durable(Lookup.of(wanted).join(postings(books), ["doc_id", "word"], "left_semi", ["line_no"]))
+    every = lines(books).select("doc_id", F.explode(cut(F.col("text"))).alias("word"), "line_no")
+    places = durable(Lookup.of(wanted).join(every, ["doc_id", "word"], "left_semi", ["line_no"]))
     per_line = places.groupBy("doc_id", "word", "line_no").agg(F.count("*").alias("n"))
     totals = places.groupBy("doc_id", "word").agg(F.count("*").alias("n_postings"))
     if shown is not None:

@@ -263,6 +263,26 @@ def test_good_words_are_cloaked_where_they_stand(books, spark, good, left):
     assert {r.word for r in got.collect()} == {w for w in left if len(w) > 1}
 
 
+def test_suspects_and_near_pairs_come_with_their_lines(books, spark):
+    df = books("the colour\nthe colour colour\nthe color of it\nthe coler here\nthe coler")
+    known = Lookup.of(spark.createDataFrame([(w,) for w in "the of it here colour".split()], "word string"))
+    suspects = spelling.spell_suspects(df, [known])
+    got = sorted(spelling.suspect_lines(df, suspects).select("word", "line_no", "n_more", "context").collect())
+    assert [tuple(r) for r in got] == [
+        ("coler", 4, 0, "the ⟦coler⟧ here"),
+        ("coler", 5, 0, "the ⟦coler⟧"),
+        ("color", 3, 0, "the ⟦color⟧ of it"),
+    ]
+    pairs = spelling.edit_distance(df, suspects)
+    near = {(r.word, r.line_no) for r in spelling.near_pair_lines(df, pairs, 1).collect()}
+    assert {("color", 3), ("colour", 1)} <= near
+
+
+def test_summary_by_document(books):
+    found = line_checks.line_findings(books("*\n*", "*", "none"), ["asterisks"])
+    assert sorted((r.doc_id, r.n) for r in report.summary_by_doc(found).collect()) == [(0, 2), (1, 1)]
+
+
 def test_families(books, spark):
     text = "A  line * here\nto-day to day x to day y\n\n“open quote"
     known = Lookup.of(spark.createDataFrame([("line",)], "word string"))

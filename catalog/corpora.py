@@ -15,6 +15,8 @@ from galley.sources.books import from_parquet
 
 TYPESET = [
     ("\n", "\n\n"),
+    (" an ", " tomorrow "),
+    (" or ", " to-morrow, Dr. "),
     (" of ", " to-day "),
     (" and ", " today "),
     (" with ", " Mr. "),
@@ -115,7 +117,10 @@ QUOTES = [
     ("n. ", "n.” "),
 ]
 SITUATIONS = [
+    ("e.\n", "e,\n"),
     (",\n", ",\n\n"),
+    (" an ", " axcb axgb axpb axsb axtb axwh axfr axbr axqu axtw axgl axfl axsw axgr axsl axcl axiy "),
+    (" or ", " hrax hlax cbax sbax tbax wbax tlax tnax rnax ltax tjax "),
     (" to ", " [x "),
     (" in ", " well- known "),
     (" is ", " 8,1948 "),

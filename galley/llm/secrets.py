@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions.arrays import let, running_sums
 from galley.llm.common import text_or_empty
 
 SCOPE = 200
@@ -32,37 +33,9 @@ LOGIN = r"""(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|user_?name|user|login
 ENDPOINT = r"""(?i)[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}"""
 KINDS = ["assign", "access", "hex", "key", "login", "endpoint"]
 ROLES = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "login": "id", "endpoint": "endpoint"}
-_BLOCK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _once(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _sums(numbers: Column) -> Column:
-    """Running sums from 0, one more than there are numbers; in blocks, so that
-    the arrays that a fold copies stay short."""
-
-    def inner(block: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-        )
-
-    def joined(blocks: Column) -> Column:
-        totals = inner(F.transform(blocks, lambda b: F.element_at(b, -1)))
-        parts = F.transform(
-            blocks, lambda b, k: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + F.get(totals, k))
-        )
-        return F.concat(F.flatten(parts), F.array(F.element_at(totals, -1)))
-
-    starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(_BLOCK))
-    blocks = F.transform(starts, lambda i: inner(F.slice(numbers, i, _BLOCK)))
-    return _once(blocks, joined)
-
-
 def _spans(text: Column, pattern: str, kind: str, good=None, group: int = 0) -> Column:
     """``(start, kind, end)`` of every match; ``good`` filters by the group's text."""
     none = F.array().cast(_SPAN)
@@ -81,16 +54,16 @@ def _spans(text: Column, pattern: str, kind: str, good=None, group: int = 0) ->
     def placed(m: Column) -> Column:
         # every array is bound once, so that no element computes it anew
         wanted = F.regexp_extract_all(text, F.lit(pattern), group) if group else m
-        return _once(
+        return let(
             F.split(text, pattern, -1),
-            lambda gaps: _once(
+            lambda gaps: let(
                 F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i))),
-                lambda steps: _once(_sums(steps), lambda at: _once(wanted, lambda w: listed(m, at, w))),
+                lambda steps: let(running_sums(steps), lambda at: let(wanted, lambda w: listed(m, at, w))),
             ),
         )
 
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    return _once(found, lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
+    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
 
 
 def _mixed(token: Column) -> Column:

@@ -27,6 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions.arrays import let
 from galley.llm.common import set_aside, text_or_empty
 from galley.plans.joins import durable
 
@@ -40,10 +41,6 @@ def _lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _once(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _words(text: Column) -> Column:
     """Words in their own case."""
 
@@ -52,7 +49,7 @@ def _words(text: Column) -> Column:
         last = F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
         return F.slice(w, lead + 1, F.size(w) - lead - last)
 
-    return _once(F.split(text, _APART, -1), trimmed)
+    return let(F.split(text, _APART, -1), trimmed)
 
 
 def _shingles(words: Column, sizes: list[int]) -> Column:
@@ -69,7 +66,7 @@ def _shingles(words: Column, sizes: list[int]) -> Column:
         )
 
     low = F.transform(words, lambda w: F.lower(w))
-    return _once(low, lambda a: F.concat(*[of(a, s) for s in sizes]))
+    return let(low, lambda a: F.concat(*[of(a, s) for s in sizes]))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:

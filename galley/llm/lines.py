@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions.arrays import let
 from galley.llm.common import set_aside, text_or_empty
 
 
@@ -50,10 +51,7 @@ def line_chunks(text: Column) -> Column:
             ),
         )
 
-    def once(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    many = once(hashed(lines), lambda h: once(rolled(h), lambda r: once(ends(r), cut)))
+    many = let(hashed(lines), lambda h: let(rolled(h), lambda r: let(ends(r), cut)))
     return F.when(n >= 2, many).otherwise(F.array(text))
 
 

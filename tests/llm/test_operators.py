@@ -165,6 +165,54 @@ def test_line_dedup_of_nothing(no_docs):
     assert lines.line_dedup(no_docs).count() == 0
 
 
+def passages_by_hand(rows):
+    """Lines left of each row: a line goes with a pair of lines that stood before."""
+    ordered = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash_of(r[1])))
+    first, left = {}, {}
+    for at, (i, t) in enumerate(ordered):
+        own = (t or "").split("\n")
+        full = [k for k, line in enumerate(own) if line.strip(" \t\r")]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            d, upto = first.setdefault(tuple(own[a : b + 1]), (at, b))
+            if d != at or a > upto:
+                gone.update(range(a, b + 1))
+        left[(i, t)] = [line for k, line in enumerate(own) if k not in gone]
+    return [left[r] for r in rows]
+
+
+def xxhash_of(text):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return 42 if text is None else h - (1 << 64) * (h >> 63)
+
+
+@pytest.mark.parametrize("source", ["odd_docs", "real_docs", "made"])
+def test_every_repeated_passage_goes(request, spark, source):
+    if source == "made":
+        draw = random.Random(4)
+        fresh = lambda n: [f"line {draw.random()}" for _ in range(n)]
+        shared = [fresh(n) for n in (2, 2, 3, 4, 5) * 4]
+        made = []
+        for i in range(40):  # each passage stands in two documents, among other lines
+            made.append((i, "\n".join(fresh(3) + shared[i // 2] + fresh(3))))
+        made += [(50, "x\nx\nx"), (51, "y\n" * 5 + "y"), (52, "a\n\nb\nc"), (53, "d\na\n\nb\n \ne"), (54, "\n\n"), (55, "a\n\n"), (56, "\na\n")]
+        docs = spark.createDataFrame(made, "doc_id long, text string")
+    else:
+        docs = request.getfixturevalue(source)
+    rows = pairs(docs)
+    want = collections.Counter((i, "\n".join(x)) for (i, _), x in zip(rows, passages_by_hand(rows)))
+    got = lines.drop_repeated_passages(docs)
+    assert collections.Counter((i, t or "") for i, t in pairs(got)) == want
+    said = collections.Counter((r["doc_id"], r["n_lines"] - r["n_removed"], r["kept_sha256"]) for r in lines.line_dedup(docs).collect())
+    assert said == collections.Counter((i, 0 if t is None else len(x), sha("\n".join(x))) for (i, t), x in zip(rows, passages_by_hand(rows)))
+    if source == "made":
+        lost = {r["doc_id"]: r["n_removed"] for r in lines.line_dedup(docs).collect()}
+        assert all(lost[i] == 0 and lost[i + 1] == len(shared[i // 2]) for i in range(0, 40, 2))
+        assert (lost[50], lost[51], lost[52], lost[53]) == (0, 4, 0, 3)
+
+
 # --- 4: embeddings --------------------------------------------------------------------------
 
 

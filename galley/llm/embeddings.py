@@ -5,16 +5,20 @@ of 0.316.  Its upper level is ``cells``: the nearest of some centres, which
 come from a farthest-first walk over at most ``SAMPLE`` vectors (the only sample;
 every vector is indexed, and the choice of centres changes no result).  Below a
 cell, nets with halving radii 1, 1/2, 1/4, 1/8 are nested in each other; the last
-ones are ``balls``.  Two trees are descended together: a ball visits a cell, then
-meets its balls, then vectors meet vectors, and at each step a pair of nodes
-goes if its centres are farther apart than the threshold plus both covering
-radii.  Nothing else is left out, so the pairs are exact.
+ones are ``balls``.  A vector visits every later cell whose covering ball it may
+reach; there it meets balls, and then vectors, and each time a node goes if it is
+farther away than the threshold plus its covering radius.  Nothing else is left
+out, so the pairs are exact.
 
 All vectors of one ball lie within the threshold of each other.  So a ball of
-near copies needs no comparison inside, one link joins two balls' components,
-and links are counted, never listed.  Equal vectors are one class from the
-start.  A cell holds at most ``PER_CELL`` vectors (larger ones are split, with
-their own radii) and its visitors are dealt in parts of that size.
+near copies needs no comparison inside, and one wholly in reach of a vector is
+counted by its size.  Links are counted where both sides are at hand, in the task
+of a cell and a part of its visitors, which gives one row for each vector and one
+edge for each ball at most; no pair is ever a row.  In a loose group (cosines
+between 0.95 and 0.992) balls are single vectors, and the products of all its
+pairs are still computed, in blocks of bounded size.  Equal vectors are one class
+from the start.  A cell holds at most ``PER_CELL`` vectors (larger ones are split)
+and its visitors are dealt in parts of that size.
 
 Vectors that are null, empty or zero or hold null or non-finite components link
 with nothing, nor does a row without ``vec_id``; vectors of different length do
@@ -146,52 +150,40 @@ def _cells(classes: DataFrame, per_cell: int) -> DataFrame:
 
 
 def _tree(cells: DataFrame) -> DataFrame:
-    """Each class with its ball: ``id, n, v, cell, ball, ball_v, radius``."""
+    """Each class with its ball: ``id, n, v, cell, ball``."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable").reset_index(drop=True)
-        x = _unit(group["v"])
-        owner = balls(x)
-        far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, x[owner]), 0))
-        radius = np.zeros(len(x))
-        np.maximum.at(radius, owner, far)
-        group["ball"] = group["id"].to_numpy()[owner]
-        group["ball_v"] = [group["v"].iat[k] for k in owner]
-        group["radius"] = radius[owner]
+        group["ball"] = group["id"].to_numpy()[balls(_unit(group["v"]))]
         return group
 
-    schema = "id long, n long, v array<double>, cell long, ball long, ball_v array<double>, radius double"
-    return cells.groupBy("cell").applyInPandas(build, schema)
+    return cells.groupBy("cell").applyInPandas(build, "id long, n long, v array<double>, cell long, ball long")
 
 
-def _meetings(tree: DataFrame, reach: float, per_cell: int) -> DataFrame:
-    """``a, b``: pairs of different balls that may hold a link."""
-    nodes = tree.filter("id = ball").select("ball", "ball_v", "radius", "cell")
-    nodes = durable(nodes)
-    # the covering ball of a cell: around its first ball's centre, over all its balls
-    hubs = nodes.groupBy("cell").agg(F.min_by("ball_v", "ball").alias("hub"), F.count("*").alias("size"))
-    hubs = hubs.orderBy("cell").toPandas()  # as many rows as there are cells
-    if not len(hubs):
-        return tree.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    hub = _unit(hubs["hub"])
+def _visits(tree: DataFrame, reach: float, per_cell: int) -> DataFrame:
+    """``cell, part, home, id, n, v, ball``: the vectors of each cell, and those of
+    earlier cells that may link with one of them, in parts."""
+    # the covering ball of a cell: around one of its vectors, over all of them
+    hubs = tree.groupBy("cell").agg(F.min_by("v", "id").alias("hub")).orderBy("cell").toPandas()
+    hub = _unit(hubs["hub"])  # as many rows as there are cells
     cell_ids = hubs["cell"].to_numpy()
     place = np.full(int(cell_ids.max()) + 1, -1, dtype=np.int64)
     place[cell_ids] = np.arange(len(cell_ids))
-    shared = nodes.sparkSession.sparkContext.broadcast((hub, cell_ids, place))
+    shared = tree.sparkSession.sparkContext.broadcast((hub, cell_ids, place))
 
     def span(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, _, place = shared.value
         for part in parts:
             if len(part):
-                x, own = _unit(part["ball_v"]), place[part["cell"].to_numpy()]
+                x, own = _unit(part["v"]), place[part["cell"].to_numpy()]
                 d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, hub[own]), 0))
-                yield pd.DataFrame({"cell": part["cell"], "cover": d + part["radius"]})
+                yield pd.DataFrame({"cell": part["cell"], "cover": d})
 
-    covers = nodes.mapInPandas(span, "cell long, cover double").groupBy("cell").agg(F.max("cover").alias("c"))
+    covers = tree.select("cell", "v").mapInPandas(span, "cell long, cover double")
     cover = np.zeros(len(cell_ids))
-    for row in covers.collect():  # as many rows as there are cells
+    for row in covers.groupBy("cell").agg(F.max("cover")).collect():  # as many rows as there are cells
         cover[place[row[0]]] = row[1]
-    bounds = nodes.sparkSession.sparkContext.broadcast(cover)
+    bounds = tree.sparkSession.sparkContext.broadcast(cover)
 
     def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, cell_ids, place = shared.value
@@ -199,80 +191,132 @@ def _meetings(tree: DataFrame, reach: float, per_cell: int) -> DataFrame:
             for lo in range(0, len(part), 1024):
                 some = part.iloc[lo : lo + 1024]
                 own = place[some["cell"].to_numpy()]
-                d = _apart(_unit(some["ball_v"]), hub)
-                near = d <= bounds.value[None, :] + some["radius"].to_numpy()[:, None] + reach + _SAFE
+                near = _apart(_unit(some["v"]), hub) <= bounds.value[None, :] + reach + _SAFE
                 near &= np.arange(len(cell_ids))[None, :] > own[:, None]
                 who, where = np.nonzero(near)
-                out = some.iloc[who][["ball", "ball_v", "radius"]].copy()
+                out = some.iloc[who][["id", "n", "v", "ball"]].copy()
                 out["cell"] = cell_ids[where]
                 yield out
 
-    columns = "ball long, ball_v array<double>, radius double, cell long"
-    guests = nodes.mapInPandas(visits, columns).withColumn("home", F.lit(False))
-    # visitors come in parts; the cell's own balls go to each of its parts
+    columns = "id long, n long, v array<double>, ball long, cell long"
+    guests = tree.mapInPandas(visits, columns).withColumn("home", F.lit(False))
+    # visitors come in parts; the cell's own vectors go to each of its parts
     parts = guests.groupBy("cell").agg(F.ceil(F.count("*") / per_cell).alias("parts"))
-    guests = guests.join(F.broadcast(parts), "cell").withColumn(
-        "part", F.pmod(F.xxhash64("ball"), F.col("parts"))
-    )
-    homes = nodes.withColumn("home", F.lit(True)).join(F.broadcast(parts), "cell", "left")
+    guests = guests.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    homes = tree.withColumn("home", F.lit(True)).join(F.broadcast(parts), "cell", "left")
     homes = homes.withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
     )
-    names = ["cell", "part", "home", "ball", "ball_v", "radius"]
-    everyone = homes.select(names).unionByName(guests.select(names))
+    names = ["cell", "part", "home", "id", "n", "v", "ball"]
+    return homes.select(names).unionByName(guests.select(names))
+
+
+class _Forest:
+    """Which nodes hang together; ``join`` takes links by blocks and lists none."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        r = self.up[nodes]
+        while (self.up[r] != r).any():
+            r = self.up[r]
+        self.up[nodes] = r
+        return r
+
+    def join(self, rows: np.ndarray, link: np.ndarray) -> None:
+        """``rows[i]`` with each column node ``j`` of which ``link[i, j]`` holds."""
+        root = self.roots(np.arange(link.shape[1]))
+        low = np.where(link, root, len(self.up)).min(axis=1)
+        high = np.where(link, root, -1).max(axis=1)
+        for i in np.flatnonzero(high >= 0):
+            some = np.array([low[i]]) if low[i] == high[i] else np.unique(root[link[i]])
+            some = self.roots(np.append(some, rows[i]))
+            self.up[some] = some.min()
+
+
+def count_links(
+    x: np.ndarray, n: np.ndarray, ball: np.ndarray, y: np.ndarray, m: np.ndarray, visitor: np.ndarray, inner: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links between vectors ``x`` of one cell and its visitors ``y``, and with
+    ``inner`` also between different balls of the cell.
+
+    ``n`` and ``m`` are the weights of the vectors, ``ball`` and ``visitor`` name the
+    balls by the place of their centre in ``x`` and by any number.  Gives the links
+    of each ``x`` and each ``y``, and for every ball (the cell's in order of their
+    centres, then the visitors' in order of number) one it hangs together with.
+    A ball wholly in or wholly out of reach of a vector is counted or left by its
+    centre; only the rest is compared vector by vector.
+    """
+    reach = float(np.sqrt(2 - 2 * threshold))
+    centre, own = np.unique(ball, return_inverse=True)
+    guests, guest = np.unique(visitor, return_inverse=True)
+    order = np.argsort(own, kind="stable")
+    start = np.searchsorted(own[order], np.arange(len(centre) + 1))
+    single = np.diff(start) == 1
+    c, weight = x[centre], np.bincount(own, weights=n, minlength=len(centre))
+    radius = np.zeros(len(centre))
+    np.maximum.at(radius, own, np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, c[own]), 0)))
+    radius[single] = 0
+    to_x, to_y, to_ball = np.zeros(len(x)), np.zeros(len(y)), np.zeros(len(centre))
+    forest = _Forest(len(centre) + len(guests))
+
+    def compare(z: np.ndarray, w: np.ndarray, node: np.ndarray, to_z: np.ndarray, later: bool) -> None:
+        step = max(64, 2_000_000 // max(1, len(c)))
+        for lo in range(0, len(z), step):
+            part, pw, at = z[lo : lo + step], w[lo : lo + step].astype(float), node[lo : lo + step]
+            dot = part @ c.T
+            link = dot >= threshold
+            if not single.all():
+                d = np.sqrt(np.maximum(2 - 2 * dot, 0)) - _SAFE
+                link &= single | (d + radius + 2 * _SAFE <= reach)
+                maybe = ~single & ~link & (d <= reach + radius)
+            else:
+                maybe = None
+            if later:  # each pair of balls once
+                after = np.arange(len(c))[None, :] > at[:, None]
+                link &= after
+                maybe = maybe & after if maybe is not None else None
+            to_z[lo : lo + step] += link @ weight
+            to_ball[:] += pw @ link
+            if maybe is not None:
+                for j in np.flatnonzero(maybe.any(axis=0)):
+                    rows, members = np.flatnonzero(maybe[:, j]), order[start[j] : start[j + 1]]
+                    near = part[rows] @ x[members].T >= threshold
+                    to_z[lo + rows] += near @ n[members]
+                    to_x[members] += pw[rows] @ near
+                    link[rows, j] = near.any(axis=1)
+            forest.join(at, link)
+
+    if inner:
+        compare(x, n, own, to_x, True)
+    compare(y, m, len(centre) + guest, to_y, False)
+    return to_x + to_ball[own], to_y, forest.roots(np.arange(len(forest.up))), guests
+
+
+def _count(everyone: DataFrame, threshold: float) -> DataFrame:
+    """``id, more``: the links of each vector beyond its ball; ``a, b``: balls that hang together.
+
+    A task gives a row for each of its vectors and balls at most.
+    """
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["home"]]
-        guest = group[~group["home"]]
-        x, r, ids = _unit(own["ball_v"]), own["radius"].to_numpy(), own["ball"].to_numpy()
-        found_a, found_b = [], []
-
-        def pairs(y: np.ndarray, s: np.ndarray, other: np.ndarray, inner: bool) -> None:
-            for lo in range(0, len(y), 512):
-                # distance <= t as a bound on the dot product, so no root is taken
-                t = s[lo : lo + 512, None] + r[None, :] + reach + _SAFE
-                i, j = np.nonzero(y[lo : lo + 512] @ x.T >= 1 - t * t / 2)
-                a, b = other[lo + i], ids[j]
-                if inner:
-                    a, b = a[a < b], b[a < b]
-                found_a.append(a)
-                found_b.append(b)
-
-        if len(own):
-            if group["part"].iat[0] == 0:
-                pairs(x, r, ids, True)
-            pairs(_unit(guest["ball_v"]), guest["radius"].to_numpy(), guest["ball"].to_numpy(), False)
-        join = lambda z: np.concatenate(z) if z else np.empty(0, np.int64)
-        return pd.DataFrame({"a": join(found_a), "b": join(found_b)})
-
-    return everyone.groupBy("cell", "part").applyInPandas(meet, "a long, b long")
-
-
-def _compare(tree: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, id, more``: the links of each vector into the other ball."""
-    members = tree.select("ball", "id", "n", "v")
-    left = met.join(members, met["a"] == members["ball"]).select("a", "b", F.lit(0).alias("side"), "id", "n", "v")
-    right = met.join(members, met["b"] == members["ball"]).select("a", "b", F.lit(1).alias("side"), "id", "n", "v")
-    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20))
-
-    def check(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (a, b), pair in group.groupby(["a", "b"], sort=True):
-            one, two = pair[pair["side"] == 0], pair[pair["side"] == 1]
-            x, y = _unit(one["v"]), _unit(two["v"])
-            n, m = one["n"].to_numpy(), two["n"].to_numpy()
-            into_x, into_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-            for lo in range(0, len(x), 1024):
-                link = (x[lo : lo + 1024] @ y.T) >= threshold
-                into_x[lo : lo + 1024] += link @ m
-                into_y += n[lo : lo + 1024] @ link
-            for rows, counts in ((one, into_x), (two, into_y)):
-                hit = counts > 0
-                out.append(pd.DataFrame({"a": a, "b": b, "id": rows["id"].to_numpy()[hit], "more": counts[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "id": [], "more": []})
-
-    rows = left.unionByName(right).withColumn("k", bucket)
-    return rows.groupBy("k").applyInPandas(check, "a long, b long, id long, more long")
+        home = group["home"].to_numpy()
+        own, guest = group[home].sort_values("id", kind="stable"), group[~home]
+        ids, seen = own["id"].to_numpy(), guest["id"].to_numpy()
+        ball = np.searchsorted(ids, own["ball"].to_numpy())
+        y = _unit(guest["v"]) if len(guest) else np.empty((0, len(own["v"].iat[0])))
+        to_x, to_y, root, guests = count_links(
+            _unit(own["v"]), own["n"].to_numpy(), ball, y, guest["n"].to_numpy(), guest["ball"].to_numpy(), group["part"].iat[0] == 0, threshold
+        )
+        nodes = np.concatenate((ids[np.unique(ball)], guests)).astype(np.int64)
+        who, more = np.concatenate((ids, seen)), np.concatenate((to_x, to_y)).astype(np.int64)
+        hangs = nodes != nodes[root]
+        counted = pd.DataFrame({"id": who[more > 0], "more": more[more > 0], "a": 0, "b": 0})
+        joined = pd.DataFrame({"id": 0, "more": 0, "a": nodes[hangs], "b": nodes[root][hangs]})
+        return pd.concat([counted, joined], ignore_index=True)
+
+    return everyone.groupBy("cell", "part").applyInPandas(meet, "id long, more long, a long, b long")
 
 
 def _links(classes: DataFrame, threshold: float, per_cell: int) -> DataFrame:
@@ -281,16 +325,15 @@ def _links(classes: DataFrame, threshold: float, per_cell: int) -> DataFrame:
     if 2 * RADII[-1] >= reach:
         raise ValueError(f"threshold {threshold} is too high for balls of radius {RADII[-1]}")
     tree = durable(_tree(_cells(classes, per_cell)))
-    met = durable(_meetings(tree, reach, per_cell))
-    found = durable(_compare(tree, met, threshold))
+    found = durable(_count(_visits(tree, reach, per_cell), threshold))
     within = tree.groupBy("ball").agg(F.sum("n").alias("all"), F.min("id").alias("first"))
-    joined = components(found.select("a", "b").distinct())
+    joined = components(found.filter("more = 0").select("a", "b").distinct())
     named = within.join(joined, within["ball"] == joined["node"], "left").withColumn(
         "component", F.coalesce("component", "ball")
     )
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
     named = named.join(lowest, "component").select("ball", "all", "lowest")
-    more = found.groupBy("id").agg(F.sum("more").alias("more"))
+    more = found.filter("more > 0").groupBy("id").agg(F.sum("more").alias("more"))
     return (
         tree.select("id", "ball")
         .join(named, "ball")

@@ -260,6 +260,54 @@ def test_balls_cover_their_rows():
     assert np.linalg.norm(x - x[owner], axis=1).max() <= embeddings.RADII[-1] + 1e-9
 
 
+def loose_group(n):
+    """Vectors whose cosines lie between 0.95 and 0.992, nearly all of them."""
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=64)
+    noise = draw.normal(size=(n, 64))
+    return embeddings._unit(base / np.linalg.norm(base) + 0.16 * noise / np.linalg.norm(noise, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("per_cell", [20_000, 500])
+def test_a_loose_group_lists_no_pairs(spark, per_cell, monkeypatch):
+    counted, stored = embeddings.durable, []
+    monkeypatch.setattr(embeddings, "durable", lambda df: (lambda out: (stored.append(out.count()), out)[1])(counted(df)))
+    for n in (1000, 4000):
+        x = loose_group(n)
+        dots = x @ x.T
+        inside = (dots[~np.eye(n, dtype=bool)] > 0.95).mean(), (dots[~np.eye(n, dtype=bool)] < 0.992).mean()
+        assert min(inside) > 0.99
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        del stored[:]
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, per_cell=per_cell).collect()}
+        assert got == {i: (k, 0) for i, k in enumerate((dots >= 0.95).sum(axis=1) - 1)}
+        # every vector and every edge once for each task it meets
+        assert max(stored) <= 2 * n * (1 + 2 * -(-n // per_cell))
+
+
+def test_links_are_counted_by_ball_or_by_vector():
+    draw = np.random.default_rng(8)
+    spots = draw.normal(size=(40, 3))
+    x = embeddings._unit(np.repeat(spots, 20, axis=0) + 0.05 * draw.normal(size=(800, 3)))
+    y = embeddings._unit(np.repeat(spots, 5, axis=0) + 0.2 * draw.normal(size=(200, 3)))
+    n, m = draw.integers(1, 4, 800), draw.integers(1, 4, 200)
+    ball = embeddings.balls(x)
+    to_x, to_y, root, _ = embeddings.count_links(x, n, ball, y, m, np.arange(200), True, 0.95)
+    inner, outer = (x @ x.T >= 0.95) & (ball[:, None] != ball[None, :]), y @ x.T >= 0.95
+    assert (to_y == outer @ n).all() and (to_x == inner @ n + m @ outer).all()
+    centres, own = np.unique(ball, return_inverse=True)
+    sides = [(own[i], own[j]) for i, j in zip(*np.nonzero(inner))] + [(len(centres) + i, own[j]) for i, j in zip(*np.nonzero(outer))]
+    assert all(root[a] == root[b] for a, b in sides)
+    low = np.arange(len(root))  # no more hangs together than links do
+    for _ in low:
+        before = low.copy()
+        for a, b in set(sides):
+            low[[a, b]] = min(low[a], low[b])
+        if (before == low).all():
+            break
+    assert len(set(low)) == len(set(root))
+
+
 # --- 5: pages ------------------------------------------------------------------------------------
 
 PROSE = "The cat is on the mat and it was there for the whole of the day. " * 4

@@ -1,12 +1,13 @@
-"""Embedding near-duplicates: exact threshold pairs by a cover tree.
+"""Embedding near-duplicates: exact threshold pairs by cells and balls.
 
-The tree has nested levels over unit vectors, where cosine 0.95 is a distance
-of 0.316.  Its upper level is ``cells``: the nearest of some centres, which
+Both cover unit vectors, where cosine 0.95 is a distance
+of 0.316.  The upper level is ``cells``: the nearest of some centres, which
 come from a farthest-first walk over at most ``SAMPLE`` vectors (the only sample;
 every vector is indexed, and the choice of centres changes no result).  Below a
 cell, nets with halving radii 1, 1/2, 1/4, 1/8 are nested in each other; the last
-ones are ``balls``.  A vector visits every later cell whose covering ball it may
-reach; there it meets balls, and then vectors, and each time a node goes if it is
+ones are ``balls``, and the wider ones serve only to find them: no tree of nodes
+is descended.  A vector visits every later cell whose covering ball it may
+reach; there it meets balls, and then vectors, and each time one goes if it is
 farther away than the threshold plus its covering radius.  Nothing else is left
 out, so the pairs are exact.
 

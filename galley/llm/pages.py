@@ -8,7 +8,10 @@ are long enough, with few links and with stop words (or inside ``article`` or
 each of them the label of its nearest decided neighbour in the same part of the
 page; at equal distance, or with no decided neighbour, it stays in the article
 and goes elsewhere.  If a page has an ``article`` or ``main`` with text, only
-that is looked at.
+that is looked at.  If the first pass finds no block to be in (short paragraphs, or
+a language without listed stop words), stop words are left aside: blocks of text
+with few links are in if they are ``SHORT`` or longer or stand in the page's
+densest run of such blocks, and the second pass follows.
 
 A null page is empty and gives an empty text.  Pages are read whole, in linear
 time.  Repeated rows give equal results; further columns are ignored.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 
 LONG, LEAST_STOPS, LEAST_STOPS_INSIDE, MOST_LINKS = 140, 0.2, 0.1, 0.5
 SHORT = 80
+#: Without stop words: the share of links in a block of text, and of letters in its signs.
+FEW_LINKS, LEAST_LETTERS = 0.2, 0.5
 
 STOP_WORDS = frozenset(
     """the of and to in is that it for was on are as with be by at this from or an not have but which
@@ -170,6 +176,37 @@ def first_pass(block: Block) -> bool | None:
     return True if len(block.text) >= LONG else None
 
 
+def _is_text(block: Block) -> bool:
+    """Mostly letters of any script, with few links."""
+    signs = "".join(block.text.split())
+    notice = signs[0] == "©" or block.text.lower().startswith("copyright")
+    letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in signs)
+    return not (notice and len(block.text) < SHORT) and block.link_share <= FEW_LINKS and letters >= LEAST_LETTERS * len(signs)
+
+
+def without_stop_words(found: list[Block], labels: list[bool | None]) -> list[bool | None]:
+    """Labels of blocks of which the first pass took none in."""
+    fits = [_is_text(b) for b in found]
+    if not any(fits):
+        return labels
+    # the run of the greatest sum: text counts for it, other blocks against it
+    best, run, total, start = None, (0, 0), 0, 0
+    for i, (block, fit) in enumerate(zip(found, fits)):
+        gain = len(block.text) if fit else -len(block.text)
+        if i == 0 or total <= 0:
+            total, start = 0, i
+        total += gain
+        if fit and (best is None or total > best):
+            best, run = total, (start, i + 1)
+    out: list[bool | None] = []
+    for i, (block, fit, label) in enumerate(zip(found, fits, labels)):
+        if fit and (len(block.text) >= SHORT or run[0] <= i < run[1]):
+            out.append(True)
+        else:
+            out.append(None if fit else label)
+    return out
+
+
 def second_pass(labels: list[bool | None], inside: list[bool]) -> list[bool]:
     """Ambiguous blocks inherit from the nearest decided one of their part."""
     n = len(labels)
@@ -196,7 +233,10 @@ def main_text(page: str | None) -> str:
     if any(b.inside and not b.out for b in found):
         found = [b for b in found if b.inside]
     found = [b for b in found if not b.out]
-    keep = second_pass([first_pass(b) for b in found], [b.inside for b in found])
+    labels = [first_pass(b) for b in found]
+    if True not in labels:
+        labels = without_stop_words(found, labels)
+    keep = second_pass(labels, [b.inside for b in found])
     return "\n".join(b.text for b, kept in zip(found, keep) if kept)
 
 

@@ -331,6 +331,34 @@ def test_main_text(page, text):
     assert pages.main_text(page) == text
 
 
+CZECH = "Vesnice leží v údolí řeky a její obyvatelé tam žijí už celá staletí, přestože zimy bývají dlouhé a velmi kruté."
+JAPANESE = "この村は川の谷間にあり、住民は何世紀にもわたってそこで暮らしてきた。冬は長く厳しい。"
+BRIEF = "The cat is on the mat and it was there for the whole of the day, as it has to be."  # 80 to 139 signs
+
+
+@pytest.mark.parametrize(
+    "lines_in",
+    [
+        [BRIEF] * 4,
+        [CZECH] * 4,
+        [CZECH + " " + CZECH, CZECH, "Krátká věta.", CZECH + " " + CZECH],
+        [JAPANESE] * 3,
+        ["Říčka", "Teče voda, teče,", "kolem našich vrat,", "a kdo by ji vypil,", "ten by mohl spát celý den."],
+        ["One line and no more of it."],
+    ],
+)
+def test_a_page_without_decided_blocks_keeps_its_text(lines_in):
+    body = "".join(f"<p>{x}</p>" for x in lines_in)
+    links = '<p><a href="/a">Domů a zpět na začátek</a></p>' * 3
+    page = f"<body><nav>{CZECH}</nav>{links}<div>{body}</div>{links * 4}<p>© 2020 X</p><footer>{CZECH}</footer>"
+    assert pages.main_text(page) == "\n".join(lines_in)
+
+
+def test_a_page_without_text_stays_empty():
+    links = '<p><a href="/a">Domů a zpět na začátek</a></p>' * 30
+    assert pages.main_text(f"{links}<p>12 | 34 | 56</p><p>© 2020 X</p><nav>{CZECH}</nav>") == ""
+
+
 def test_ambiguous_blocks_take_the_nearest_label():
     assert pages.second_pass([True, None, None, False], [False] * 4) == [True, True, False, False]
     assert pages.second_pass([None, None], [True, False]) == [True, False]

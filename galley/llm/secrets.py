@@ -4,10 +4,12 @@ Strong findings stand alone: assigned secrets, access keys and long hex runs.
 Weak candidates (an identifier, a key-like token, an endpoint) are reported
 only if a complementary part lies within ``SCOPE`` characters of them: an
 identifier or an endpoint needs a secret, a key-like token needs an identifier
-or an endpoint.  The link is an interval join: parts are folded to the first
-start and last end per ``(document, bin of SCOPE characters, role)``, and each
-weak candidate meets the three bins its scope can reach.  So the join has at
-most nine partners per candidate, however many parts a document holds.
+or an endpoint.  The distance is the gap from the end of one part to the start of
+the other, 0 if they overlap.  The link is an interval join: parts enter every bin
+of ``SCOPE`` characters they cover and are folded to the first start and last end
+per ``(document, bin, role)``, and each weak candidate meets its own bins and two
+on either side.  So a candidate has at most three partners for each bin, however
+many parts a document holds.
 
 All of it is DataFrame work.  Offsets are code points, ends exclusive.  A null
 text is empty.  Rows with equal ``doc_id`` and text get equal results, one for
@@ -96,22 +98,31 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     key = ["doc_id", "th"]
     some = found.filter(F.size("weak") > 0).dropDuplicates(key)
     each = some.select(*key, F.explode(F.concat("base", "weak")).alias("s")).select(
-        *key, "s", role.alias("role"), F.floor(F.col("s.start") / scope).alias("bin")
+        *key,
+        "s",
+        role.alias("role"),
+        F.floor(F.col("s.start") / scope).alias("bin"),
+        F.floor((F.col("s.end") - 1) / scope).alias("upto"),
     )
-    folded = each.groupBy(*key, "bin", "role").agg(
-        F.min("s.start").alias("first"), F.max("s.start").alias("last")
+    covered = each.select(*key, "s", "role", F.explode(F.sequence("bin", "upto")).alias("bin"))
+    folded = covered.groupBy(*key, "bin", "role").agg(
+        F.min("s.start").alias("first"), F.max("s.end").alias("last")
     )
     folded = folded.select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("bin").alias("_bin"), F.col("role").alias("other"), "first", "last"
     )
     weak = each.filter(F.col("s.kind") >= 3)
-    reach = weak.select("*", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("near"))
+    # a start SCOPE behind an exclusive end may be two bins from the last character
+    reach = weak.select("*", F.explode(F.sequence(F.col("bin") - 2, F.col("upto") + 2)).alias("near"))
     fits = ((F.col("role") == "secret") & (F.col("other") != "secret")) | (
         (F.col("role") != "secret") & (F.col("other") == "secret")
     )
-    at = F.col("s.start")
-    # the first start of a later bin and the last of an earlier one are the nearest
-    close = (F.abs(at - F.col("first")) <= scope) | (F.abs(at - F.col("last")) <= scope) | (F.col("bin") == F.col("near"))
+    # the first start of a later bin and the last end of an earlier one are the nearest
+    close = (
+        F.when(F.col("near") < F.col("bin"), F.col("s.start") - F.col("last") <= scope)
+        .when(F.col("near") > F.col("upto"), F.col("first") - F.col("s.end") <= scope)
+        .otherwise(True)
+    )
     same = reach["doc_id"].eqNullSafe(folded["_id"]) & (reach["th"] == folded["_th"]) & (reach["near"] == folded["_bin"])
     met = reach.join(folded, same).filter(fits & close)
     return met.groupBy(*key).agg(F.collect_set("s").alias("extra"))

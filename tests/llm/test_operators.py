@@ -562,6 +562,23 @@ def test_weak_candidates_need_a_complement(spark):
     assert kinds == {0: ["login", "key"], 1: [], 2: [], 3: ["endpoint", "key"], 4: [], 5: ["login", "key"], 6: ["login", "assign"]}
 
 
+def test_weak_candidates_link_over_the_gap(spark):
+    draw = random.Random(11)
+    word = lambda: draw.choice(["login=alice", "aB3" * draw.choice([12, 90, 300]), "https://db.example/" + "a" * draw.choice([1, 150, 900]), "token=abcdefgh"])
+    texts = [" ".join(draw.choice([word(), "x" * draw.choice([50, 190, 196, 197, 198, 199, 200, 300])]) for _ in range(9)) for _ in range(400)]
+    texts += [f"https://db.example/{'a' * 500} {'aB3' * 12}", f"{'aB3' * 200} {'x' * 198} login=alice", f"{'aB3' * 200} {'x' * 199} login=alice"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    role = lambda s: secrets.ROLES[secrets.KINDS[s["kind"]]] == "secret"
+    want = {}
+    for r in secrets.parts(docs).collect():
+        every = r["base"] + r["weak"]
+        gap = lambda a, b: max(a["start"], b["start"]) - min(a["end"], b["end"])
+        want[r["doc_id"]] = {tuple(w) for w in r["weak"] if any(role(w) != role(o) and gap(w, o) <= secrets.SCOPE for o in every)}
+    got = {r["doc_id"]: {tuple(s) for s in r["extra"]} for r in secrets.linked(secrets.parts(docs)).collect()}
+    assert got == {i: s for i, s in want.items() if s}
+    assert (len(got[400]), len(got[401]), 402 in got) == (2, 2, False)
+
+
 # --- 10: SimHash ----------------------------------------------------------------------------------------------
 
 

@@ -232,7 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = ids_and_texts(docs).join(F.broadcast(marks), "doc_id")  # ``sample`` rows at most
+    # one text of each id, whichever rows come first: ``sample`` rows at most
+    rows = ids_and_texts(docs).join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     found = rows.mapInPandas(features, "doc_id long, y double, x array<float>").toPandas()
     if not len(found):
         return QualityModel(vectors, _constant(2 * DIM + 1, 0.5))
-    found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    found = found.sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=np.float64)
     return QualityModel(vectors, fit(x, (found["y"].to_numpy() > 0.5).astype(float)))
 

@@ -411,6 +411,22 @@ def test_labels_of_held_out_rows_are_never_learnt(spark):
     assert sorted(r["doc_id"] for r in rows if r["held_out"]) == out
 
 
+def test_one_text_of_each_labelled_id_is_learnt(spark, monkeypatch):
+    good, bad = "the sea and the old house on the hill", "buy now cheap click here win win"
+    texts = [(k, f"{good if k % 2 else bad} {k} {copy}" + " more" * copy) for k in range(60) for copy in range(4)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    learnt, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: (learnt.append(x), fit(x, y))[1])
+    collected, kind = [], type(labels)
+    to_pandas = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: (lambda out: (collected.append(out), out)[1])(to_pandas(self)))
+    for rows in (texts, texts[::-1]):
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels)
+    assert np.allclose(*learnt)
+    ids = [out["doc_id"] for out in collected if list(out.columns) == ["doc_id", "y", "x"]]
+    assert len(ids) == 2 and all(x.is_unique and len(x) for x in ids)
+
+
 # --- 7: substrings ----------------------------------------------------------------------------------
 
 

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, decontaminate, embeddings, lines, pages, pii, quality, secrets, simhash, substrings
+from galley.llm import (
+    bpe,
+    decontaminate,
+    embeddings,
+    hard_negatives,
+    importance,
+    lines,
+    pages,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+)
 from galley.llm.common import documents
 
 
@@ -64,6 +78,23 @@ def _simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf))
 
 
+def _hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def _importance(spark: SparkSession, sf: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return importance.resample_keys(documents(spark, sf), target).drop("th")
+
+
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return toxicity.classify(docs, model)
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": _decontaminate,
@@ -76,6 +107,9 @@ def queries() -> dict:
         "op8_pii": _pii,
         "op9_secret_scan": _secrets,
         "op10_simhash_near_dedup": _simhash,
+        "op11_hard_negatives": _hard_negatives,
+        "op12_importance_resampling": _importance,
+        "op13_toxicity": _toxicity,
     }
 
 
@@ -147,5 +181,77 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+_HARD_NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+# DuckDB has no crc32: bytes of a word fold over the table of the reversed polynomial
+_IMPORTANCE = r"""
+WITH steps AS (
+  SELECT list(list_reduce([n::BIGINT] || list_transform(range(8), lambda x: x::BIGINT),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS turned
+  FROM range(256) AS r(n)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), dw AS (SELECT word, count(*) AS s FROM (SELECT unnest(words) AS word FROM d) GROUP BY word),
+bw AS (SELECT word, count(*) AS t FROM (SELECT unnest(words) AS word FROM b) GROUP BY word),
+coded AS (
+  SELECT word, coalesce(s, 0) AS s, coalesce(t, 0) AS t, hex(encode(word)) AS h FROM dw FULL JOIN bw USING (word)
+), hashed AS (
+  SELECT word, s, t, xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, steps.turned[xor(c & 255, x) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM coded, steps
+), totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM hashed),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((sum(t) + 1) * (all_s + 10000))::DOUBLE / ((sum(s) + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS g
+  FROM hashed, totals GROUP BY bucket, all_s, all_t
+), word_gain AS (SELECT word, g FROM hashed JOIN gain USING (bucket)),
+summed AS (
+  SELECT doc_id, sum(g) AS total FROM (SELECT doc_id, unnest(words) AS word FROM d) JOIN word_gain USING (word) GROUP BY doc_id
+), weighed AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features,
+    CASE WHEN len(words) = 0 THEN 0 ELSE floor(coalesce(total, 0) / len(words)) END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN summed USING (doc_id)
+), scored AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed
+), able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END::BIGINT AS rank
+FROM scored LEFT JOIN able USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _DECONTAMINATION, "op4_embedding_near_dedup": _EMBEDDINGS, "op7_substring_dedup": _SUBSTRINGS}
+    return {
+        "op1_decontamination": _DECONTAMINATION,
+        "op4_embedding_near_dedup": _EMBEDDINGS,
+        "op7_substring_dedup": _SUBSTRINGS,
+        "op11_hard_negatives": _HARD_NEGATIVES,
+        "op12_importance_resampling": _IMPORTANCE,
+    }

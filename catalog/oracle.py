@@ -239,12 +239,12 @@ nb AS (SELECT doc_id, line_no, trim(text, {SPACES}) AS text,
     FROM l WHERE trim(text, {SPACES}) <> '')"""
 
 
-def spacing() -> str:
+def spacing(seeds=C.SPACING) -> str:
     marked = "pattern"
     for d in ["3", "5", "22", "44"]:
         marked = f"replace({marked}, '{d}', '⟦{d}⟧')"
     return (
-        ctes(src(C.SPACING), LINES, INKED)
+        ctes(src(seeds), LINES, INKED)
         + f""",
 sg AS (SELECT *, sum(CASE WHEN gap >= {fx.CHAPTER_GAP} THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM nb),
@@ -261,9 +261,9 @@ SELECT *, contains(pattern, '⟦')::BIGINT AS suspect FROM g"""
     )
 
 
-def headers() -> str:
+def headers(seeds=C.SPACING) -> str:
     return (
-        ctes(src(C.SPACING), LINES, INKED)
+        ctes(src(seeds), LINES, INKED)
         + f""",
 bl AS (SELECT *, sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM nb),
 h AS (SELECT doc_id, k, min(line_no) AS line_no, arg_min(gap, line_no) AS gap,
@@ -275,9 +275,9 @@ FROM h WHERE gap >= {fx.CHAPTER_GAP}"""
     )
 
 
-def duplicates() -> str:
+def duplicates(seeds=None) -> str:
     return (
-        ctes(src(), LINES)
+        ctes(src(seeds), LINES)
         + f""",
 d AS (SELECT doc_id, text, min(line_no) AS line_no FROM l
     WHERE text <> '' AND text <> {q(fx.THOUGHT_BREAK)} GROUP BY doc_id, text HAVING count(*) > 1),
@@ -287,10 +287,10 @@ FROM i GROUP BY doc_id, g HAVING count(*) > 1"""
     )
 
 
-def series(pattern: str, anchors: bool) -> str:
+def series(pattern: str, anchors: bool, seeds=C.NOTES) -> str:
     text = f"regexp_replace(text, {q('^[' + UNICODE_SPACE.replace(chr(10), '') + chr(92) + 'n]*' + chr(92) + '[' + chr(92) + 'd+' + chr(92) + ']')}, '')" if anchors else "text"
     return (
-        ctes(src(C.NOTES), LINES)
+        ctes(src(seeds), LINES)
         + f""",
 m AS (SELECT doc_id, line_no, unnest(xs) AS x, unnest(range(1, len(xs) + 1)) AS k
     FROM (SELECT doc_id, line_no, regexp_extract_all({text}, {q(pattern)}, 1) AS xs FROM l)),
@@ -302,9 +302,9 @@ FROM g GROUP BY doc_id, series_no"""
     )
 
 
-def rare_chars() -> str:
+def rare_chars(seeds=None) -> str:
     return (
-        ctes(src(), LINES)
+        ctes(src(seeds), LINES)
         + f""",
 c AS (SELECT doc_id, line_no, text, unnest(string_split(text, '')) AS ch FROM l WHERE text <> ''),
 r AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE NOT contains({q(fx.USUAL_CHARS)}, ch)
@@ -342,7 +342,7 @@ def book_counts() -> str:
     )
 
 
-def book_level() -> str:
+def book_level(seeds=C.TYPESET) -> str:
     def shown(*names):
         return " || ' ' || ".join(f"'{n}=' || \"{n}\"::BIGINT" for n in names)
 
@@ -374,7 +374,7 @@ def book_level() -> str:
         )
     )
     rules.append(("both apostrophes and turned commas", "ma > 0 AND mt > 0", "''"))
-    return ctes(src(C.TYPESET), LINES, counts_cte()) + " UNION ALL ".join(
+    return ctes(src(seeds), LINES, counts_cte()) + " UNION ALL ".join(
         f"SELECT doc_id, {q(rule)} AS rule, {item} AS item FROM c WHERE {cond}" for rule, cond, item in rules
     )
 
@@ -391,9 +391,9 @@ def edited() -> str:
     return expr
 
 
-def para_rule(key: str) -> str:
+def para_rule(key: str, seeds=C.PARAGRAPHS) -> str:
     rule = q(PARA_KEYS[key])
-    base = ctes(src(C.PARAGRAPHS), LINES, PARAS)
+    base = ctes(src(seeds), LINES, PARAS)
     keep = f"doc_id, para_no, {rule} AS rule, item"
     keys = "doc_id, para_no"
     if key == "para_upper_start":
@@ -436,7 +436,7 @@ def para_rule(key: str) -> str:
     return base + with_context(rel, keep)
 
 
-def repeated_words() -> str:
+def repeated_words(seeds=None) -> str:
     marked = rf"regexp_replace(text, '(\p{{L}}+)', {q(chr(1) + chr(92) + '1' + chr(2))}, 'g')"
     rel = f"""
 SELECT doc_id, para_no, text, word, p0 + length(word) AS pos FROM (
@@ -448,7 +448,7 @@ SELECT doc_id, para_no, text, word, p0 + length(word) AS pos FROM (
       FROM (SELECT *, string_split({marked}, chr(1)) AS ps FROM p))) WHERE k > 1
   WINDOW o AS (PARTITION BY doc_id, para_no ORDER BY k))
 WHERE word = next_word AND sep = ' ' AND length(word) > 1"""
-    return ctes(src(), LINES, PARAS) + with_context(rel, "doc_id, para_no, word", at="pos::BIGINT")
+    return ctes(src(seeds), LINES, PARAS) + with_context(rel, "doc_id, para_no, word", at="pos::BIGINT")
 
 
 # ------------------------------------------------------------- word lists etc.
@@ -478,12 +478,12 @@ def word_marked(text: str, word: str) -> str:
     )
 
 
-def scannos(good: bool = False) -> str:
+def scannos(good: bool = False, seeds=None) -> str:
     rel = f"SELECT doc_id, word, line_no, {word_marked('text', 'word')} AS text FROM t JOIN sc USING (word)"
     lists = [BENCH, GOOD_LIST] if good else []
     if good:
         rel += " WHERE word NOT IN (SELECT word FROM gw)"
-    return ctes(src(), LINES, TOKENS, SCANNOS, *lists) + with_context(
+    return ctes(src(seeds), LINES, TOKENS, SCANNOS, *lists) + with_context(
         f"SELECT *, strpos(text, '⟦') - 1 AS pos FROM ({rel})", "doc_id, word, line_no"
     )
 
@@ -512,23 +512,23 @@ cj AS (SELECT cn.*, {word_marked('l.text', 'cn.word')} AS text
     )
 
 
-def suspect_lines(good: bool = False) -> str:
+def suspect_lines(good: bool = False, seeds=None) -> str:
     cut = f""",
 sw AS MATERIALIZED (SELECT doc_id, line_no, unnest({spell_words_sql("text")}) AS word FROM l)"""
-    return places_of(spelling(cut, good), "SELECT doc_id, word FROM su", "sw") + " SELECT * FROM cn"
+    return places_of(spelling(cut, good, seeds), "SELECT doc_id, word FROM su", "sw") + " SELECT * FROM cn"
 
 
-def near_pair_lines(good: bool = False) -> str:
-    pairs = f"SELECT doc_id, unnest([suspect, near]) AS word FROM ({edit_distance(good)})"
-    return places_of(ctes(src(), LINES, POSTINGS), pairs) + " SELECT * FROM cn"
+def near_pair_lines(good: bool = False, seeds=None) -> str:
+    pairs = f"SELECT doc_id, unnest([suspect, near]) AS word FROM ({edit_distance(good, seeds)})"
+    return places_of(ctes(src(seeds), LINES, POSTINGS), pairs) + " SELECT * FROM cn"
 
 
-def mixed_case(good: bool = True) -> str:
+def mixed_case(good: bool = True, seeds=C.SITUATIONS) -> str:
     def cond(pats):
         return " AND ".join(has("word", p) for p in pats)
 
     return (
-        ctes(src(C.SITUATIONS), LINES, TOKENS, POSTINGS, VOCAB, BENCH, GOOD_LIST)
+        ctes(src(seeds), LINES, TOKENS, POSTINGS, VOCAB, BENCH, GOOD_LIST)
         + f""",
 m AS (SELECT * FROM t WHERE CASE WHEN starts_with(word, '’') THEN {cond(fx.MIXED_CASE_APOSTROPHE)}
     ELSE {cond(fx.MIXED_CASE)} END)
@@ -537,11 +537,11 @@ WHERE coalesce(v.n, 0) < 2 {"AND NOT EXISTS (SELECT 1 FROM gw WHERE contains(m.w
     )
 
 
-def odd_words() -> str:
+def odd_words(seeds=C.SITUATIONS) -> str:
     ends = ", ".join(q(e) for e in fx.RARE_ENDINGS)
     starts = ", ".join(q(e) for e in fx.RARE_BEGINNINGS)
     return (
-        ctes(src(C.SITUATIONS), LINES, TOKENS)
+        ctes(src(seeds), LINES, TOKENS)
         + f"""
 SELECT doc_id, 'query word ending with ' || right(word, 2) AS rule, line_no, word FROM t
 WHERE strlen(word) > 2 AND right(word, 2) IN ({ends})
@@ -551,15 +551,15 @@ WHERE strlen(word) > 2 AND left(word, 2) IN ({starts})"""
     )
 
 
-def hyphen_pairs() -> str:
-    return ctes(src(C.TYPESET), LINES, POSTINGS, VOCAB) + """,
+def hyphen_pairs(seeds=C.TYPESET) -> str:
+    return ctes(src(seeds), LINES, POSTINGS, VOCAB) + """,
 hp AS (SELECT a.doc_id, b.word AS solid, b.n AS n_solid, a.word AS hyphenated, a.n AS n_hyphenated
     FROM v a JOIN v b ON a.doc_id = b.doc_id AND replace(a.word, '-', '') = b.word
     WHERE contains(a.word, '-') AND NOT regexp_matches(a.word, '[0-9]'))"""
 
 
-def hyphen_lines() -> str:
-    return hyphen_pairs() + """,
+def hyphen_lines(seeds=C.TYPESET) -> str:
+    return hyphen_pairs(seeds) + """,
 hs AS (SELECT doc_id, solid AS word FROM hp UNION SELECT doc_id, hyphenated FROM hp)
 SELECT doc_id, word, line_no FROM b JOIN hs USING (doc_id, word)
 QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY line_no) <= 4"""
@@ -571,9 +571,9 @@ hc AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(fx.
     FROM l WHERE contains(text, '-'))"""
 
 
-def hyphen_space() -> str:
+def hyphen_space(seeds=C.HYPHENS) -> str:
     return (
-        ctes(src(C.HYPHENS), LINES, compounds())
+        ctes(src(seeds), LINES, compounds())
         + r""",
 cd AS (SELECT DISTINCT doc_id, compound, replace(compound, '-', ' ') AS phrase FROM hc),
 sp AS (SELECT cd.doc_id, compound, phrase, l.line_no FROM cd JOIN l ON l.doc_id = cd.doc_id
@@ -621,11 +621,11 @@ hb AS MATERIALIZED (SELECT form, phrase, count(*) AS n FROM (
     )
 
 
-def jeebies(form: str) -> str:
+def jeebies(form: str, seeds=None) -> str:
     other = "he" if form == "be" else "be"
     triple = fx.TRIPLE_BE if form == "be" else fx.TRIPLE_HE
     limit = "> 1.0" if form == "be" else ">= 1.0"
-    base = ctes(src(), LINES, PARAS, trained("TRUE"))
+    base = ctes(src(seeds), LINES, PARAS, trained("TRUE"))
     base += f""",
 tr AS (SELECT doc_id, para_no, trim(text, {SPACES}) AS text FROM p),
 oc AS (SELECT doc_id, para_no, text, unnest(regexp_extract_all(lower(text), {q(triple)})) AS phrase FROM tr),
@@ -681,9 +681,9 @@ us AS (SELECT un.doc_id, un.word, sum(CASE WHEN v.word IN (un.word, lower(un.wor
 su AS MATERIALIZED (SELECT doc_id, word FROM us WHERE coalesce(uses, 0) < {fx.COMMON_FROM})"""
 
 
-def spelling(tail: str, good: bool = False) -> str:
+def spelling(tail: str, good: bool = False, seeds=None) -> str:
     lists = [BENCH, DICTIONARY] + ([GOOD_LIST] if good else [])
-    return ctes(src(), LINES, POSTINGS, VOCAB, *lists, suspects_ctes(good)) + tail
+    return ctes(src(seeds), LINES, POSTINGS, VOCAB, *lists, suspects_ctes(good)) + tail
 
 
 # --------------------------------------------------------------- smart quotes
@@ -779,7 +779,7 @@ WHERE l.doc_id IN (SELECT doc_id FROM sq)"""
 # -------------------------------------------------------------- edit distance
 
 
-def edit_distance(good: bool = False) -> str:
+def edit_distance(good: bool = False, seeds=None) -> str:
     """One edit apart, by equal forms with one letter dropped.
 
     Same length: the same place dropped from both leaves the same letters.
@@ -821,6 +821,7 @@ kp AS (SELECT pr.* FROM pr JOIN fi a ON a.doc_id = pr.doc_id AND a.word = s_plai
 SELECT doc_id, suspect, n_suspect, near, n_near FROM kp x WHERE NOT (s <> s_plain AND EXISTS (SELECT 1 FROM kp y
     WHERE y.doc_id = x.doc_id AND y.suspect = x.near AND y.near = x.suspect AND y.place < x.place))""",
         good,
+        seeds,
     )
 
 
@@ -830,46 +831,38 @@ SELECT doc_id, suspect, n_suspect, near, n_near FROM kp x WHERE NOT (s <> s_plai
 def text_check_parts(seeds, good: bool) -> list[tuple[str, str, str]]:
     """``(check, rule expression, SQL)`` of the common text checks."""
 
-    def on(sql: str, own=None) -> str:
-        return sql.replace(src(own), src(seeds))
-
-    parts = [(c, "rule", on(line_check(c))) for c in LINE_CHECKS]
+    parts = [(c, "rule", line_check(c, seeds)) for c in LINE_CHECKS]
     parts += [
-        ("special situations", "rule", on(odd_words(), C.SITUATIONS)),
-        ("special situations", "'mixed case within word'", on(mixed_case(good), C.SITUATIONS)),
-        ("scannos", "'scannos'", on(scannos(good))),
-        ("spacing pattern", "'spacing pattern'", f"SELECT * FROM ({on(spacing(), C.SPACING)}) WHERE suspect = 1"),
-        ("headers", "'headers'", on(headers(), C.SPACING)),
-        ("duplicate lines", "'duplicate lines'", on(duplicates())),
-        ("rare characters", "'rare characters'", on(rare_chars())),
-        ("footnotes", "'footnote'", on(series(fx.FOOTNOTE_LABEL, anchors=False), C.NOTES)),
-        ("footnotes", "'footnote anchor'", on(series(fx.FOOTNOTE_ANCHOR, anchors=True), C.NOTES)),
-        ("book level", "rule", on(book_level(), C.TYPESET)),
-        ("book level", "'repeated line'", on(repeated_lines())),
-        ("repeated words", "'repeated words'", on(repeated_words())),
+        ("special situations", "rule", odd_words(seeds)),
+        ("special situations", "'mixed case within word'", mixed_case(good, seeds)),
+        ("scannos", "'scannos'", scannos(good, seeds)),
+        ("spacing pattern", "'spacing pattern'", f"SELECT * FROM ({spacing(seeds)}) WHERE suspect = 1"),
+        ("headers", "'headers'", headers(seeds)),
+        ("duplicate lines", "'duplicate lines'", duplicates(seeds)),
+        ("rare characters", "'rare characters'", rare_chars(seeds)),
+        ("footnotes", "'footnote'", series(fx.FOOTNOTE_LABEL, anchors=False, seeds=seeds)),
+        ("footnotes", "'footnote anchor'", series(fx.FOOTNOTE_ANCHOR, anchors=True, seeds=seeds)),
+        ("book level", "rule", book_level(seeds)),
+        ("book level", "'repeated line'", repeated_lines(seeds)),
+        ("repeated words", "'repeated words'", repeated_words(seeds)),
     ]
-    return parts + [("paragraph level", "rule", on(para_rule(k), C.PARAGRAPHS)) for k in PARA_KEYS]
+    return parts + [("paragraph level", "rule", para_rule(k, seeds)) for k in PARA_KEYS]
 
 
 def all_parts(seeds) -> list[tuple[str, str, str]]:
-    """Every family."""
-
-    def on(sql: str, own=None) -> str:
-        return sql.replace(src(own), src(seeds))
-
-    pairs = hyphen_pairs() + "SELECT * FROM hp"
-    tags = ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT * FROM sq"
+    """Every family; the he/be list stays trained on the unmarked documents."""
+    tags = ctes(quote_ctes(seeds)) + scan_ctes() + "SELECT * FROM sq"
     return text_check_parts(seeds, good=True) + [
-        ("hyphenation", "'solid and hyphenated'", on(pairs, C.TYPESET)),
-        ("hyphenation", "'line of solid or hyphenated'", on(hyphen_lines(), C.TYPESET)),
-        ("hyphenation", "form", on(hyphen_space(), C.HYPHENS)),
-        ("smart quotes", "tag", on(tags, C.QUOTES)),
-        ("spelling", "'suspect word'", on(spelling("SELECT * FROM su", good=True))),
-        ("spelling", "'line of suspect word'", on(suspect_lines(good=True))),
-        ("edit distance", "'near word'", on(edit_distance(good=True))),
-        ("edit distance", "'line of near word'", on(near_pair_lines(good=True))),
-        ("he/be", "'query be'", on(jeebies("be"))),
-        ("he/be", "'query he'", on(jeebies("he"))),
+        ("hyphenation", "'solid and hyphenated'", hyphen_pairs(seeds) + "SELECT * FROM hp"),
+        ("hyphenation", "'line of solid or hyphenated'", hyphen_lines(seeds)),
+        ("hyphenation", "form", hyphen_space(seeds)),
+        ("smart quotes", "tag", tags),
+        ("spelling", "'suspect word'", spelling("SELECT * FROM su", good=True, seeds=seeds)),
+        ("spelling", "'line of suspect word'", suspect_lines(True, seeds)),
+        ("edit distance", "'near word'", edit_distance(True, seeds)),
+        ("edit distance", "'line of near word'", near_pair_lines(True, seeds)),
+        ("he/be", "'query be'", jeebies("be", seeds)),
+        ("he/be", "'query he'", jeebies("he", seeds)),
     ]
 
 
@@ -889,9 +882,9 @@ def summary_by_doc(parts: list[tuple[str, str, str]]) -> str:
     )
 
 
-def repeated_lines() -> str:
+def repeated_lines(seeds=None) -> str:
     return (
-        ctes(src(), LINES, NEAR)
+        ctes(src(seeds), LINES, NEAR)
         + f"SELECT doc_id, line_no, text FROM w WHERE text = after AND strlen(text) > {fx.REPEATED_LINE_OVER_BYTES}"
     )
 

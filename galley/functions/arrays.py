@@ -89,6 +89,57 @@ def running_sums(numbers: Column) -> Column:
     return let(numbers, cut)
 
 
+def scan(
+    array: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    out_type: str,
+    finish: Callable[[Column], Column] | None = None,
+) -> Column:
+    """What a sequential walk puts out, in order.
+
+    ``step(state, x)`` is ``struct(state, out)`` with ``out`` an array of
+    ``out_type``; ``finish(state)`` puts out what is left at the end.  Outputs are
+    gathered block by block, so that no step copies all that came before it.
+    """
+
+    def inner(state: Column, block: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            return let(
+                step(acc["state"], x),
+                lambda r: F.struct(
+                    r["state"].alias("state"),
+                    F.when(F.size(r["out"]) > 0, F.concat(acc["out"], r["out"])).otherwise(acc["out"]).alias("out"),
+                ),
+            )
+
+        return F.aggregate(
+            block, F.struct(state.alias("state"), F.array().cast(f"array<{out_type}>").alias("out")), one
+        )
+
+    def blocks(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(_BLOCK))
+        return F.transform(starts, lambda i: F.slice(a, i, _BLOCK))
+
+    def outer(a: Column) -> Column:
+        none = F.array().cast(f"array<array<{out_type}>>")
+        return F.aggregate(
+            blocks(a),
+            F.struct(start.alias("state"), none.alias("outs")),
+            lambda acc, b: let(
+                inner(acc["state"], b),
+                lambda r: F.struct(
+                    r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")
+                ),
+            ),
+            lambda acc: F.flatten(
+                F.concat(acc["outs"], F.array(finish(acc["state"]))) if finish else acc["outs"]
+            ),
+        )
+
+    return let(array, outer)
+
+
 def meet(left: Column, right: Column) -> Column:
     """Equal strings of two arrays: ``struct(key, l, r)``, with their 0-based
     positions on either side.  Both are sorted together, so no pair is compared."""

@@ -25,32 +25,34 @@ def lines(books: DataFrame) -> DataFrame:
 
 
 def lines_in_place(books: DataFrame) -> DataFrame:
-    """Lines with their neighbours ``before`` and ``after`` (NULL past an end).
+    """Lines with the one ``after`` them (NULL past the end).
 
     ``opens`` is true where the line before is empty, or would be once a lone
     em dash that itself opens a paragraph is taken away.
     """
+    text = F.col("text")
+    return books.select("doc_id", F.inline(let(line_array(text), lambda a: neighbours(text, a))))
+
+
+def neighbours(text: Column, lined: Column) -> Column:
+    """``struct(line_no, text, after, opens)`` of one document's lines."""
     lone_dash = r"(?:(?<=\n\n)|(?<=\A\n)|(?!\A)\G)—\n"
     undashed = F.when(
-        F.contains("text", F.lit("—\n")) | F.contains("text", F.lit("—\r\n")),
-        F.regexp_replace(text_body(F.col("text")), lone_dash, "\n"),
+        F.contains(text, F.lit("—\n")) | F.contains(text, F.lit("—\r\n")),
+        F.regexp_replace(text_body(text), lone_dash, "\n"),
     )
-
-    def zipped(lined: Column) -> Column:
-        return let(
-            F.coalesce(F.split(undashed, "\n", -1), lined),
-            lambda plain: F.transform(
-                lined,
-                lambda x, i: F.struct(
-                    (i + 1).cast("long").alias("line_no"),
-                    x.alias("text"),
-                    F.get(lined, i + 1).alias("after"),
-                    F.coalesce(F.get(plain, i - 1) == "", F.lit(False)).alias("opens"),
-                ),
+    return let(
+        F.coalesce(F.split(undashed, "\n", -1), lined),
+        lambda plain: F.transform(
+            lined,
+            lambda x, i: F.struct(
+                (i + 1).cast("long").alias("line_no"),
+                x.alias("text"),
+                F.get(lined, i + 1).alias("after"),
+                F.coalesce(F.get(plain, i - 1) == "", F.lit(False)).alias("opens"),
             ),
-        )
-
-    return books.select("doc_id", F.inline(let(line_array(F.col("text")), zipped)))
+        ),
+    )
 
 
 def paragraph_array(text: Column) -> Column:

@@ -13,33 +13,35 @@ from galley.functions import fixed_values as fx
 from galley.functions.re2 import re2
 from galley.functions.text import matches, trim_space
 from galley.operators.derived import lines_in_place
+from galley.operators.findings import finding
 
 
-def _rules() -> dict[str, list[tuple[str, Column]]]:
-    """check -> [(rule, condition on the line)], in report order."""
+def _rules(check: str) -> list[tuple[str, Column]]:
+    """[(rule, condition on the line)], in report order."""
     text, after = F.col("text"), F.col("after")
     size = F.length(text)
-    return {
-        "asterisks": [("asterisks", F.contains(text, F.lit("*")))],
-        "adjacent spaces": [("adjacent spaces", F.contains(trim_space(text), F.lit("  ")))],
-        "trailing spaces": [("trailing spaces", F.endswith(text, F.lit(" ")))],
-        "short lines": [
-            (
-                "short lines",
-                ~F.startswith(text, F.lit(" "))
-                & size.between(1, fx.SHORT_LINE_MAX)
-                & (F.coalesce(after, F.lit("")) != ""),
-            )
-        ],
-        "long lines": [("long lines", size > fx.LONG_LINE_OVER)],
-        "ellipsis": [("ellipsis", matches(text, *fx.ELLIPSIS))],
-        "dash check": [(name, dash_class() == name) for name in _DASH_NAMES],
-        "curly quotes": [
+    if check == "asterisks":
+        return [(check, F.contains(text, F.lit("*")))]
+    if check == "adjacent spaces":
+        return [(check, F.contains(trim_space(text), F.lit("  ")))]
+    if check == "trailing spaces":
+        return [(check, F.endswith(text, F.lit(" ")))]
+    if check == "short lines":
+        indented = F.startswith(text, F.lit(" "))
+        followed = F.coalesce(after, F.lit("")) != ""
+        return [(check, ~indented & size.between(1, fx.SHORT_LINE_MAX) & followed)]
+    if check == "long lines":
+        return [(check, size > fx.LONG_LINE_OVER)]
+    if check == "ellipsis":
+        return [(check, matches(text, *fx.ELLIPSIS))]
+    if check == "curly quotes":
+        return [
             ("floating quote", matches(text, *fx.FLOATING_QUOTE)),
             ("quote direction", matches(text, *fx.QUOTE_DIRECTION)),
-        ],
-        "special situations": special_line_rules(),
-    }
+        ]
+    if check == "special situations":
+        return special_line_rules()
+    raise ValueError(f"unknown line check: {check}")
 
 
 _DASH_NAMES = ["adjacent dashes", *[name for name, _ in fx.DASH_CLASSES], "unrecognized dash"]
@@ -121,38 +123,55 @@ def line_findings_over(
     lined: DataFrame, checks: list[str] | None = None, rules: list[str] | None = None, verbose=False
 ) -> DataFrame:
     """The same over lines already cut (see ``lines_in_place``)."""
-    wanted = LINE_CHECKS if checks is None else checks
-    if "dash check" in wanted:
-        # the masking chain runs only on lines with a dash
-        lined = lined.withColumn(
-            "left_dashes",
-            F.when(
-                F.col("text").rlike(fx.DASH_ANY),
-                without_legal_dashes(F.col("text"), F.col("opens"), verbose),
-            ).otherwise(""),
-        )
+    lined = with_left_dashes(lined, checks, verbose)
+    return lined.select("doc_id", F.inline(line_hits(checks, rules)))
+
+
+def with_left_dashes(
+    lined: DataFrame, checks: list[str] | None = None, verbose=False, where: Column | None = None
+) -> DataFrame:
+    """Lines with what the legal dashes leave of them, where dashes are checked."""
+    if checks is not None and "dash check" not in checks:
+        return lined
+    # the masking chain runs only on lines with a dash
+    dashed = F.col("text").rlike(fx.DASH_ANY)
+    left = F.when(
+        dashed if where is None else where & dashed,
+        without_legal_dashes(F.col("text"), F.col("opens"), verbose),
+    ).otherwise("")
+    return lined.withColumn("left_dashes", left)
+
+
+def line_hits(checks: list[str] | None = None, rules: list[str] | None = None) -> Column:
+    """Findings of the line in ``line_no, text, after, opens, left_dashes``.
+
+    Every condition yields the place of its rule in one list of names, so the
+    finding is spelled out once for all of them.
+    """
+    names: list[tuple[str, str]] = []
     hits = []
-    for check in wanted:
-        if check == "dash check" and rules is None:
-            hits.append(_hit(check, dash_class(), dash_class().isNotNull()))
+    for check in LINE_CHECKS if checks is None else checks:
+        if check == "dash check":  # one class for a line at most
+            among = F.array_position(F.array(*map(F.lit, _DASH_NAMES)), dash_class())
+            wanted = [rules is None or name in rules for name in _DASH_NAMES]
+            hits.append((among - 1 + len(names)).cast("int") if all(wanted) else _only(among, wanted, len(names)))
+            names += [(check, name) for name in _DASH_NAMES]
             continue
-        for rule, condition in _rules()[check]:
+        for rule, condition in _rules(check):
             if rules is None or rule in rules:
-                hits.append(_hit(check, F.lit(rule), condition))
-    found = lined.select(
-        "doc_id", "line_no", "text", F.explode(F.array_compact(F.array(*hits))).alias("hit")
-    )
-    return found.select(
-        "doc_id",
-        F.col("hit.check").alias("check"),
-        F.col("hit.rule").alias("rule"),
-        "line_no",
-        F.lit(None).cast("long").alias("para_no"),
-        F.lit(None).cast("string").alias("item"),
-        F.when(F.col("hit.check") == "long lines", F.length("text")).otherwise(1).cast("long").alias("n"),
-        F.col("text").alias("context"),
-    )
+                hits.append(F.when(condition, F.lit(len(names))))
+                names.append((check, rule))
+    checks_of = F.array(*[F.lit(c) for c, _ in names])
+    rules_of = F.array(*[F.lit(r) for _, r in names])
+
+    def told(k: Column) -> Column:
+        check = F.get(checks_of, k)
+        n = F.when(check == "long lines", F.length("text")).otherwise(1)
+        return finding(check, F.get(rules_of, k), line_no=F.col("line_no"), n=n, context=F.col("text"))
+
+    return F.transform(F.array_compact(F.array(*hits)), told)
 
 
-def _hit(check: str, rule: Column, condition: Column) -> Column:
-    return F.when(condition, F.struct(F.lit(check).alias("check"), rule.alias("rule")))
+def _only(among: Column, wanted: list[bool], first: int) -> Column:
+    chosen = [k + 1 for k, w in enumerate(wanted) if w]
+    return F.when(among.isin(chosen), (among - 1 + first).cast("int"))

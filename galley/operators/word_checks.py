@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
-from galley.functions.arrays import let
+from galley.functions.arrays import counts, let, meet
 from galley.functions.text import context, matches
 from galley.functions.words import book_words, line_words
-from galley.operators.derived import lines, vocab_where
-from galley.operators.report import first_rows
-from galley.plans.joins import Lookup, durable
+from galley.operators.derived import doc_words, lines
+from galley.operators.findings import finding
+from galley.plans.joins import Lookup
+from galley.sources.books import line_array
 
 
 def word_context(text: Column, word: Column, open_mark: str = "⟦", close_mark: str = "⟧") -> Column:
@@ -43,7 +44,15 @@ def scannos_without(scanno_words: Lookup, good: Lookup) -> Lookup:
 
 def odd_words(books: DataFrame) -> DataFrame:
     """Words with a rare ending or beginning, one row per fault."""
-    word = F.col("word")
+    return (
+        lines(books)
+        .select("doc_id", "line_no", "text", F.explode(line_words(F.col("text"))).alias("word"))
+        .select("doc_id", "line_no", "word", "text", F.explode(_faults(F.col("word"))).alias("rule"))
+    )
+
+
+def _faults(word: Column) -> Column:
+    """The rules a single word breaks."""
     end2, start2 = F.right(word, F.lit(2)), F.left(word, F.lit(2))
     faults = F.array_compact(
         F.array(
@@ -51,12 +60,31 @@ def odd_words(books: DataFrame) -> DataFrame:
             F.when(start2.isin(fx.RARE_BEGINNINGS), F.concat(F.lit("query word starting with "), start2)),
         )
     )
-    return (
-        lines(books)
-        .select("doc_id", "line_no", "text", F.explode(line_words(F.col("text"))).alias("word"))
-        .filter(F.octet_length("word") > 2)
-        .select("doc_id", "line_no", "word", "text", F.explode(faults).alias("rule"))
-    )
+    return F.when(F.octet_length(word) > 2, faults).otherwise(F.array().cast("array<string>"))
+
+
+def line_word_hits(scanno_words: list[str] | None) -> Column:
+    """Findings of the words of the line in ``line_no, text``: rare endings and
+    beginnings, and scannos of a list short enough to stand in the plan."""
+    text, line_no = F.col("text"), F.col("line_no")
+
+    def odd(w: Column) -> Column:
+        return F.transform(
+            _faults(w),
+            lambda rule: finding("special situations", rule, line_no=line_no, item=w, context=text),
+        )
+
+    def listed(words: Column) -> Column:
+        return F.transform(
+            F.filter(words, lambda w: w.isin(scanno_words)),
+            lambda w: finding("scannos", line_no=line_no, item=w, context=word_context(text, w)),
+        )
+
+    def hits(words: Column) -> Column:
+        odds = F.flatten(F.transform(words, odd))
+        return F.concat(odds, listed(words)) if scanno_words else odds
+
+    return let(line_words(text), hits)
 
 
 def has_mixed_case(word: Column) -> Column:
@@ -71,22 +99,56 @@ def mixed_case_words(books: DataFrame, good: Lookup | None = None) -> DataFrame:
 
     Words holding a good word anywhere are left out.
     """
-    tokens = lines(books).select(
-        "doc_id",
-        "line_no",
-        "text",
-        F.explode(F.filter(line_words(F.col("text")), has_mixed_case)).alias("word"),
-    )
-    # the vocabulary keeps hyphens apart from the line words, so a word that
-    # is not in it counts as seen zero times
-    frequent = vocab_where(books, has_mixed_case).filter("n > 1").select("doc_id", "word")
-    rare = tokens.join(frequent, ["doc_id", "word"], "left_anti")
+    rare = books.select("doc_id", F.inline(let(line_array(F.col("text")), lambda a: mixed_case_of(F.col("text"), a))))
     if good is not None:
         holding = containing_good_word(rare.select("word").distinct(), good)
         rare = Lookup.of(holding).join(rare, ["word"], "left_anti", ["doc_id", "line_no"])
     return rare.select("doc_id", "word", "line_no", "text")
 
 
+_INNER_CAPITAL = r"[\p{L}\p{N}’‘-]\p{Lu}"
+
+
+def mixed_case_of(text: Column, lined: Column, good_words: list[str] | None = None) -> Column:
+    """``struct(word, line_no, text)`` of one document's rare mixed-case words.
+
+    The counts are in the row; only lines with a capital inside a word are cut
+    into words.  ``good_words`` is a list short enough to stand in the plan.
+    """
+    tokens = F.flatten(
+        F.transform(
+            lined,
+            lambda x, i: F.when(
+                x.rlike(_INNER_CAPITAL),
+                F.transform(
+                    F.filter(line_words(x), has_mixed_case),
+                    lambda w: F.struct(w.alias("word"), (i + 1).cast("long").alias("line_no"), x.alias("text")),
+                ),
+            ).otherwise(F.array().cast("array<struct<word: string, line_no: bigint, text: string>>")),
+        )
+    )
+
+    def rare_words(found: Column) -> Column:
+        # the vocabulary keeps hyphens apart from the line words, so a word that
+        # is not in it counts as seen zero times
+        often = F.transform(
+            F.filter(counts(F.filter(doc_words(text), has_mixed_case)), lambda c: c["n"] > 1),
+            lambda c: c["word"],
+        )
+        rare = F.array_except(F.transform(found, lambda t: t["word"]), often)
+        if not good_words:
+            return rare
+        lengths = F.array(*[F.lit(k) for k in sorted({len(g) for g in good_words})])
+        holds = lambda w: F.exists(substrings(w, lengths), lambda s: s.isin(good_words))
+        return F.filter(rare, lambda w: ~holds(w))
+
+    def kept(found: Column) -> Column:
+        met = meet(rare_words(found), F.transform(found, lambda t: t["word"]))
+        return F.flatten(F.transform(met, lambda m: F.transform(m["r"], lambda k: F.get(found, k))))
+
+    return F.when(text.rlike(_INNER_CAPITAL), let(tokens, lambda t: F.when(F.size(t) > 0, kept(t))))
+
+
 def substrings(word: Column, lengths: Column) -> Column:
     """Distinct substrings of a word having one of the given lengths."""
     return F.array_distinct(
@@ -130,25 +192,34 @@ def concordance(
     With ``shown`` only so many lines are kept per word; ``n_more`` tells how
     many postings are beyond them.
     """
-    wanted = words.select("doc_id", "word").distinct()
-    every = lines(books).select("doc_id", F.explode(cut(F.col("text"))).alias("word"), "line_no")
-    places = durable(Lookup.of(wanted).join(every, ["doc_id", "word"], "left_semi", ["line_no"]))
-    per_line = places.groupBy("doc_id", "word", "line_no").agg(F.count("*").alias("n"))
-    totals = places.groupBy("doc_id", "word").agg(F.count("*").alias("n_postings"))
-    if shown is not None:
-        per_line = first_rows(per_line, ["doc_id", "word"], [F.col("line_no")], shown)
-    # the lines themselves stay where they are if the places are few
-    wanted_lines = Lookup.of(
-        per_line.join(totals, ["doc_id", "word"])
-        .groupBy("doc_id", "line_no")
-        .agg(F.collect_list(F.struct("word", "n_postings")).alias("words"))
-    )
-    found = wanted_lines.join_unique(lines(books), ["doc_id", "line_no"], "inner")
-    more = F.greatest(F.col("n_postings") - shown, F.lit(0)) if shown is not None else F.lit(0)
-    return found.select("doc_id", "line_no", "text", F.inline("words")).select(
-        "doc_id",
-        "word",
-        "line_no",
-        word_context(F.col("text"), F.col("word")).alias("context"),
-        more.cast("long").alias("n_more"),
+    by_doc = Lookup.of(words.groupBy("doc_id").agg(F.collect_set("word").alias("words")))
+    found = let(line_array(F.col("text")), lambda a: shown_lines(F.col("words"), a, shown, cut))
+    return by_doc.join_unique(books, ["doc_id"], "inner").select("doc_id", F.inline(found))
+
+
+def shown_lines(words: Column, lined: Column, shown: int | None, cut: Callable[[Column], Column]) -> Column:
+    """``struct(word, line_no, context, n_more)`` of the chosen words of one document."""
+    postings = F.flatten(
+        F.transform(
+            lined, lambda x, i: F.transform(cut(x), lambda w: F.struct(w.alias("word"), i.alias("at")))
+        )
     )
+
+    def lines_of(m: Column, p: Column) -> Column:
+        more = F.greatest(F.size(m["r"]) - shown, F.lit(0)) if shown is not None else F.lit(0)
+        at = F.array_distinct(F.transform(m["r"], lambda k: F.get(p, k)["at"]))
+        return F.transform(
+            at if shown is None else F.slice(at, 1, shown),
+            lambda i: F.struct(
+                m["key"].alias("word"),
+                (i + 1).cast("long").alias("line_no"),
+                word_context(F.get(lined, i), m["key"]).alias("context"),
+                more.cast("long").alias("n_more"),
+            ),
+        )
+
+    def placed(p: Column) -> Column:
+        met = meet(F.array_distinct(words), F.transform(p, lambda x: x["word"]))
+        return F.flatten(F.transform(met, lambda m: lines_of(m, p)))
+
+    return let(postings, placed)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+PLAN_BYTES = 256 << 10
 SALTS = 32
 
 
@@ -65,6 +66,12 @@ class Lookup:
     def small(self) -> bool:
         return self.n_bytes <= self.limit
 
+    def listed(self, column: str, limit: int = PLAN_BYTES) -> list | None:
+        """The values of a column if they are few enough to stand in a plan."""
+        if self.n_bytes > limit:
+            return None
+        return sorted({r[0] for r in self.table.select(column).collect()})
+
     def join(self, large: DataFrame, on: list[str], how: str, spread_by: list[str]) -> DataFrame:
         """``large JOIN lookup``; ``spread_by`` are columns of ``large`` that
         differ between rows of one key (the salt is a hash of them)."""

@@ -4,8 +4,9 @@ The text is cut by the tokenizer's pattern.  Each distinct word of a batch is
 folded once: its bytes are an array of pieces, and the neighbouring pair whose
 joined bytes have the lowest rank is merged until no pair has a rank.  The rank
 map is a file of fixed size, sent to every worker once.  Folded words stay in a
-table of at most ``REMEMBERED`` entries per worker, so memory is bounded and
-every task stands alone; nothing is shuffled.
+table of about ``REMEMBERED`` bytes per worker, and texts are taken ``BYTES_AT_ONCE``
+at a time (a longer one alone), so memory is bounded by the longest text and every
+task stands alone; nothing is shuffled.
 
 ``encode`` adds a column of ids, ``decode`` one of bytes; other columns pass.
 A null text has no ids; null ids decode to no bytes.  Texts are never cut.
@@ -21,11 +22,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REMEMBERED = 200_000
+REMEMBERED = 64 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,45 +66,74 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text``, without special tokens."""
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def _slices(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``BYTES_AT_ONCE`` bytes of text; no text is cut."""
+    sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < part.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, side="right")))
+        yield part.slice(at, upto - at)
+        at = upto
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids", check: str | None = None
+) -> DataFrame:
+    """``docs`` with the ids of ``text``, without special tokens.
+
+    ``check`` names a further column: whether the ids decode to the text again.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
-    schema = T.StructType(
-        [f for f in docs.schema.fields if f.name != column]
-        + [T.StructField(column, T.ArrayType(T.IntegerType()))]
-    )
+    added = [T.StructField(column, T.ArrayType(T.IntegerType()))]
+    if check:
+        added.append(T.StructField(check, T.BooleanType()))
+    new = [f.name for f in added]
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + added)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         words_of = regex.compile(pattern).findall
-        table, known = shared.value, {}
-        for part in parts:
-            values, ends = [], [0]
-            for text in part.column("text").to_pylist():
-                words = [] if text is None else words_of(text)
-                for word in set(words):
-                    if word not in known:
-                        known[word] = fold(word.encode("utf-8", "surrogatepass"), table)
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
-                values.append(ids)
-                ends.append(ends[-1] + len(ids))
-                if len(known) > REMEMBERED:
-                    known = {}
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            names = [n for n in part.schema.names if n != column]
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [lists], names + [column])
+        table, known, held = shared.value, {}, 0
+        pieces = _pieces(table) if check else []
+        for whole in parts:
+            for part in _slices(whole):
+                values, ends, same = [], [0], []
+                for text in part.column("text").to_pylist():
+                    words = [] if text is None else words_of(text)
+                    for word in set(words):
+                        if word not in known:
+                            known[word] = fold(word.encode("utf-8", "surrogatepass"), table)
+                            held += 200 + 4 * len(word) + 40 * len(known[word])
+                    ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
+                    values.append(ids)
+                    ends.append(ends[-1] + len(ids))
+                    if check:
+                        back = b"".join([pieces[i] for i in ids.tolist()])
+                        same.append(back == (text or "").encode("utf-8", "surrogatepass"))
+                    if held > REMEMBERED:
+                        known, held = {}, 0
+                flat = np.concatenate(values) if values else np.empty(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                names = [n for n in part.schema.names if n not in new]
+                more = [lists, pa.array(same, pa.bool_())] if check else [lists]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + more, names + new)
 
     return docs.mapInArrow(batches, schema)
 
 
 def decoder(spark: SparkSession, ranks: dict[bytes, int]):
     """A column function: the bytes that a column of ids stands for."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    shared = spark.sparkContext.broadcast(pieces)
+    shared = spark.sparkContext.broadcast(_pieces(ranks))
 
     @F.pandas_udf(T.BinaryType())
     def decode(ids: pd.Series) -> pd.Series:

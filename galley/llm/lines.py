@@ -1,4 +1,4 @@
-"""Line dedup: repeated passages of lines, and content-defined chunks of lines.
+"""Line dedup: repeated passages of lines.
 
 ``line_dedup`` takes out every repeated passage.  A passage is two or more lines
 with more than white space (blank lines between them belong to it), so it
@@ -10,18 +10,8 @@ lines in a row) does not count.  A single line with other neighbours stays.
 Repeated hashes only nominate pairs; equal bytes decide, as the pairs are grouped
 and joined by their text.
 
-``drop_repeated_chunks``, which the pipeline uses, looks at chunks alone and so
-misses most short passages between other lines.  A rolling hash over each pair of neighbouring lines marks the boundaries: a
-chunk ends after a line whose rolling hash is lower than the one before it and
-not higher than the one after it.  A line added or lost moves the boundaries
-beside it only, and no two boundaries are neighbours, so every chunk of a
-document of two lines or more holds two lines or more.  A chunk that occurs
-more than once in the corpus stays where it comes first (by ``doc_id``, then by
-place) and is removed elsewhere.  Repeated hashes only nominate chunks; equal
-bytes decide, as the chunks are grouped and joined by their text.
-
 Nulls: a null text has no lines and stays null; a null ``doc_id`` comes last.
-Documents of one line and chunks of white space alone are left as they are.
+Documents of one line and lines of white space alone are left as they are.
 Rows with equal ``doc_id`` and text are one document and get one result each.
 Further columns pass through.
 """
@@ -35,85 +25,6 @@ from galley.functions.arrays import let
 from galley.llm.common import set_aside, text_or_empty
 
 
-def line_chunks(text: Column) -> Column:
-    """The chunks of a text in order; joined by line ends they are the text."""
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-
-    def hashed(all_lines: Column) -> Column:
-        return F.transform(all_lines, lambda x: F.xxhash64(x))
-
-    def rolled(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x))
-
-    def ends(r: Column) -> Column:
-        low = F.filter(
-            F.sequence(F.lit(1), F.size(r) - 3),
-            lambda i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1)),
-        )
-        inner = F.when(F.size(r) >= 4, low).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array(F.lit(-1)), inner, F.array(F.size(r) - 1))
-
-    def cut(e: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(e) - 1),
-            lambda k: F.array_join(
-                F.slice(lines, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1)), "\n"
-            ),
-        )
-
-    many = let(hashed(lines), lambda h: let(rolled(h), lambda r: let(ends(r), cut)))
-    return F.when(n >= 2, many).otherwise(F.array(text))
-
-
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("th"),
-        F.posexplode(line_chunks(text_or_empty())).alias("at", "chunk"),
-    )
-    # two lines or more, and more than white space
-    return rows.filter(F.col("chunk").contains("\n") & (F.trim(F.translate("chunk", "\n\t\r", "   ")) != ""))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, drop``: the places of the chunks each document loses."""
-    chunks = _chunk_rows(docs).withColumn("h", F.xxhash64("chunk"))
-    again = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    found = chunks.join(again, "h", "left_semi")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
-    first = found.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = found.join(first, "chunk").filter(place != F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("drop"))
-
-
-def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` freed of repeated chunks, and three more columns
-    (in place of any so named): ``lines_before``, ``lines_dropped`` and
-    ``chunks_dropped``."""
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "drop")
-    rows = set_aside(docs)
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["th"] == gone["_th"]), "left")
-    text = F.col("row.text")
-    is_kept = lambda _, i: ~F.array_contains("drop", i)
-    split = joined.select(
-        "row", "drop", F.when(F.col("drop").isNotNull(), F.filter(line_chunks(text), is_kept)).alias("kept")
-    )
-    before = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
-    rest = F.array_join("kept", "\n")
-    after = F.when(F.size("kept") == 0, 0).otherwise(F.size(F.split(rest, "\n", -1)))
-    counts = {
-        "lines_before": before,
-        "lines_dropped": F.when(F.col("drop").isNull(), 0).otherwise(before - after),
-        "chunks_dropped": F.coalesce(F.size("drop"), F.lit(0)),
-    }
-    return split.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text" and c not in counts],
-        F.when(F.col("drop").isNull(), text).otherwise(rest).alias("text"),
-        *[value.cast("long").alias(name) for name, value in counts.items()],
-    )
-
-
 _PAIRS = "array<struct<at:int,to:int>>"
 
 

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from llm_by_hand import contaminated_by_hand, groups_by_hand, lines_by_hand, sha
+from llm_by_hand import contaminated_by_hand, groups_by_hand, passages_by_hand, sha
 
 from galley.llm import bpe, decontaminate, embeddings, lines, pages, pii, quality, secrets, simhash, substrings
 from galley.llm.common import components, rolling, word_hashes
@@ -140,54 +140,10 @@ def test_bpe_of_no_rows_and_of_one_very_long_word(no_docs, tokenizer):
 # --- 3: line dedup ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("source", ["odd_docs", "real_docs"])
-def test_line_dedup(request, source):
-    docs = request.getfixturevalue(source)
-    rows = docs.select("doc_id", "text", lines.line_chunks(lines.text_or_empty()).alias("c")).collect()
-    assert all("\n".join(r["c"]) == (r["text"] or "") for r in rows)
-    assert all(len(r["c"]) == 1 or all("\n" in c for c in r["c"]) for r in rows)
-    want = collections.Counter(zip([r["doc_id"] for r in rows], lines_by_hand(map(tuple, rows))))
-    got = lines.drop_repeated_chunks(docs)
-    assert collections.Counter((i, t or "") for i, t in pairs(got)) == want
-    assert set(docs.columns) <= set(got.columns)
-
-
-def test_line_chunks_survive_a_shift(spark):
-    draw = random.Random(1)
-    body = [f"line {draw.random()}" for _ in range(200)]
-    texts = ["\n".join(body), "\n".join(["another", *body[:90], "inserted", *body[90:]])]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    lost = {r["doc_id"]: r["lines_dropped"] for r in lines.drop_repeated_chunks(rows).collect()}
-    assert lost[0] == 0 and lost[1] > 180
-
-
 def test_line_dedup_of_nothing(no_docs):
     assert lines.line_dedup(no_docs).count() == 0
 
 
-def passages_by_hand(rows):
-    """Lines left of each row: a line goes with a pair of lines that stood before."""
-    ordered = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash_of(r[1])))
-    first, left = {}, {}
-    for at, (i, t) in enumerate(ordered):
-        own = (t or "").split("\n")
-        full = [k for k, line in enumerate(own) if line.strip(" \t\r")]
-        gone = set()
-        for a, b in zip(full, full[1:]):
-            d, upto = first.setdefault(tuple(own[a : b + 1]), (at, b))
-            if d != at or a > upto:
-                gone.update(range(a, b + 1))
-        left[(i, t)] = [line for k, line in enumerate(own) if k not in gone]
-    return [left[r] for r in rows]
-
-
-def xxhash_of(text):
-    import xxhash
-
-    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
-    return 42 if text is None else h - (1 << 64) * (h >> 63)
-
-
 @pytest.mark.parametrize("source", ["odd_docs", "real_docs", "made"])
 def test_every_repeated_passage_goes(request, spark, source):
     if source == "made":

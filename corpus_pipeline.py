@@ -22,11 +22,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand elsewhere already.
+    """Documents without the passages of lines that stand elsewhere already.
 
     A document that loses all it has goes; ``n_chars`` follows the text.
     """
-    done = lines.drop_repeated_chunks(docs)
+    done = lines.drop_repeated_passages(docs)
     some = (F.col("lines_dropped") == 0) | (F.trim("text") != "")
     n_chars = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.filter(some).withColumn("n_chars", n_chars).select(docs.columns)
@@ -47,11 +47,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn(
-        "round_trip", bpe.decoder(spark, ranks)("ids") == text
-    )
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, check="round_trip")
+    names = [c for c in encoded.columns if c != "round_trip"]
+    return encoded.select(*names, F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
@@ -62,7 +60,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-# A trained network and hash-chosen chunks have no SQL; see tests/llm/test_pipeline.py.
+# A trained network and a tokenizer have no SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags.  The first pass decides what it
 can: blocks in menus, footers, sidebars, notices, adverts, forms and comments
-(by element, role, class or id) and blocks made of links are out; blocks that
+(by element, role, class or id) and blocks made of links are out, but a class, an id
+or a form does not put out an element that wraps the article; blocks that
 are long enough, with few links and with stop words (or inside ``article`` or
 ``main``) are in.  Short blocks in between are ambiguous.  The second pass gives
 each of them the label of its nearest decided neighbour in the same part of the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +43,12 @@ STOP_WORDS = frozenset(
     el los las del y en por con una para se lo como más su al""".split()
 )
 _RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "object", "svg", "math", "head"}
-_OUT = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
+#: Of these an unclosed one ends at the next block.
+_DRAWN = {"svg", "iframe", "object", "math"}
+_OUT = {"nav", "footer", "aside", "button", "select", "dialog", "menu"}
 _MAIN = {"article", "main"}
 _BLOCKS = _OUT | _MAIN | set(
-    """address blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6
+    """form address blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6
     header hr html legend li ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 _VOID = {"hr", "br", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
@@ -61,6 +65,11 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCKS | {'body'}))})\b", re.I)
+
+
+#: What says that a name tells what a page has, not what the element is.
+_ABOUT = {"has", "no", "not", "with", "without", "is", "hide", "show"}
 
 
 @dataclass
@@ -69,22 +78,62 @@ class Block:
     link_share: float
     inside: bool
     out: bool
+    suspect: int  # the innermost suspect element around it, -1 for none
+
+
+@dataclass
+class Suspect:
+    """An element that is out by its name, unless it wraps the article.
+
+    ``sure`` is a name that is nothing but the word for it; any other is also let in
+    if it holds most of the page's text.
+    """
+
+    parent: int
+    sure: bool
+    holds_main: bool = False
+    chars: int = 0
+
+
+def _attributes(attributes: str) -> Iterator[tuple[str, str]]:
+    for key, *values in _NAMES.findall(attributes):
+        yield key.lower(), "".join(values).lower()
 
 
 def _is_out(name: str, attributes: str, inside: bool) -> bool:
+    """Out whatever it holds: by element, role, or because it does not show."""
     if name in _OUT or (name == "header" and not inside):
         return True
-    if not attributes or name in ("html", "body"):
+    if name in ("html", "body"):
         return False
-    for key, *values in _NAMES.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "role" and value in _ROLES):
-            return True
-        if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and not _HINTS.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+    return any(
+        key == "hidden"
+        or (key == "role" and value in _ROLES)
+        or (key == "style" and "display:none" in value.replace(" ", ""))
+        for key, value in _attributes(attributes)
+    )
+
+
+def _hinted(name: str, attributes: str) -> bool | None:
+    """Whether a class or id hints at a part that is out: surely, perhaps, or not.
+
+    An ``article`` is only out by a name that is the word for it, or ends in it.
+    """
+    if name in ("html", "body", "main"):
+        return None
+    found = False if name == "form" else None
+    for key, value in _attributes(attributes):
+        for token in value.split() if key in ("class", "id") else ():
+            parts = _PART.findall(token)
+            while len(parts) > 1 and parts[-1].isdigit():
+                parts.pop()
+            if not parts or parts[0] in _ABOUT:
+                continue
+            if parts[0] in _HINTS and len(parts) == 1:
+                return True
+            if parts[-1] in _HINTS or (name not in _MAIN and not _HINTS.isdisjoint(parts)):
+                found = False
+    return found
 
 
 def blocks(page: str) -> list[Block]:
@@ -92,15 +141,19 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     linked = [0]
-    stack: list[tuple[str, bool, bool]] = []  # element, out, main
+    stack: list[tuple[str, bool, bool, int]] = []  # element, out, main, suspect before it
+    opened: Counter = Counter()
+    suspects: list[Suspect] = []
+    unclosed: set[str] = set()
     n_out = n_main = links = 0
+    suspect = -1
 
     def close_block() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
                 share = min(1.0, linked[0] / max(1, len(joined)))
-                found.append(Block(joined, share, n_main > 0, n_out > 0))
+                found.append(Block(joined, share, n_main > 0, n_out > 0, suspect))
             text.clear()
         linked[0] = 0
 
@@ -124,12 +177,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _RAW:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                if name == "head":  # may lack its end tag
-                    stop = stop or re.compile(r"(?=<body\b)", re.I).search(page, at)
+                stop = None
+                if name not in unclosed:
+                    stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                    if stop is None:  # nor is there one further on
+                        unclosed.add(name)
+                if stop:
+                    at = stop.end()
+                elif name == "head":  # may lack its end tag
+                    stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
                     at = stop.end() if stop else at
+                elif name in _DRAWN:
+                    stop = _BLOCK_TAG.search(page, at)
+                    at = stop.start() if stop else len(page)
                 else:
-                    at = stop.end() if stop else len(page)
+                    at = len(page)
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -137,30 +199,65 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             text.append(" ")
             continue
-        if name not in _BLOCKS and not (attributes and not closing and name == "span" and _is_out(name, attributes, n_main > 0)):
-            if not (closing and any(x[0] == name for x in stack[-1:])):
+        if name not in _BLOCKS:
+            shut = closing and any(x[0] == name for x in stack[-1:])
+            span = name == "span" and attributes and not closing
+            if not shut and not (span and (_is_out(name, attributes, n_main > 0) or _hinted(name, attributes) is not None)):
                 continue
         close_block()
         links = 0
         if closing:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
-            gone = stack[depth:] if depth is not None else []
-            del stack[len(stack) - len(gone) :]
+            gone = []
+            while opened[name] and (not gone or gone[-1][0] != name):
+                gone.append(stack.pop())
+                opened[gone[-1][0]] -= 1
         else:
             gone = []
             while stack and (stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
                 gone.append(stack.pop())
+                opened[gone[-1][0]] -= 1
         n_out -= sum(x[1] for x in gone)
         n_main -= sum(x[2] for x in gone)
+        if gone:
+            suspect = gone[-1][3]
         if not closing and name not in _VOID:
-            entry = (name, _is_out(name, attributes, n_main > 0), name in _MAIN)
-            stack.append(entry)
-            n_out += entry[1]
-            n_main += entry[2]
+            hint = _hinted(name, attributes)
+            is_main = name in _MAIN and hint is None
+            stack.append((name, _is_out(name, attributes, n_main > 0), is_main, suspect))
+            opened[name] += 1
+            n_out += stack[-1][1]
+            n_main += is_main
+            if is_main and n_out == 0:
+                at_suspect = suspect
+                while at_suspect >= 0 and not suspects[at_suspect].holds_main:
+                    suspects[at_suspect].holds_main = True
+                    at_suspect = suspects[at_suspect].parent
+            if hint is not None:
+                suspects.append(Suspect(suspect, hint))
+                suspect = len(suspects) - 1
     close_block()
+    _judge(found, suspects)
     return found
 
 
+def _judge(found: list[Block], suspects: list[Suspect]) -> None:
+    """Marks the blocks of suspect elements that wrap neither article nor most text."""
+    total = 0
+    for block in found:
+        total += len(block.text)
+        if block.suspect >= 0:
+            suspects[block.suspect].chars += len(block.text)
+    for s in reversed(suspects):  # what an element holds, its parent holds
+        if s.parent >= 0:
+            suspects[s.parent].chars += s.chars
+    out = []
+    for s in suspects:
+        wraps = s.holds_main or (not s.sure and 2 * s.chars > total)
+        out.append(not wraps or (s.parent >= 0 and out[s.parent]))
+    for block in found:
+        block.out = block.out or (block.suspect >= 0 and out[block.suspect])
+
+
 def first_pass(block: Block) -> bool | None:
     """In, out, or ambiguous."""
     if block.out or block.link_share > MOST_LINKS:

@@ -292,6 +292,45 @@ JAPANESE = "この村は川の谷間にあり、住民は何世紀にもわた
 BRIEF = "The cat is on the mat and it was there for the whole of the day, as it has to be."  # 80 to 139 signs
 
 
+PROSE = (
+    "This is the text of the article and it is long enough to be taken in by the rules of the "
+    "first pass, as it has many of the stop words that are in a text."
+)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar"><nav>Home</nav><article><p>{}</p></article></div>',
+        '<div class="no-sidebar"><article><p>{}</p></article></div>',
+        '<div class="page with-menu"><p>{}</p></div>',
+        '<div class="sidebar-left page"><p>{}</p></div>',
+        '<article class="post comments-open"><p>{}</p></article>',
+        "<form><main><p>{}</p></main></form>",
+        "<form><div><p>{}</p></div></form>",
+        "<svg><path><div><article><p>{}</p></article></div>",
+        '<p>{}</p><div class="comments"><article class="comment"><p>Not this, as it is what a reader says of it.</p></article></div>',
+        '<article><p>{}</p></article><div class="comments"><article id="comment-3"><p>Not this, as it is what a reader says of the text.</p></article></div>',
+        '<div class="sidebar"><p>Not this, as it is in the bar beside the text of the page.</p></div><div><p>{}</p></div>',
+    ],
+)
+def test_names_of_wrappers_do_not_empty_a_page(page):
+    assert pages.main_text(page.format(PROSE)) == PROSE
+
+
+@pytest.mark.parametrize("made", ["<div>{}</td>", '<div class="a-nav">{}', "<svg>{}", "<p>{}</div>", "<article>{}</article>"])
+def test_pages_take_linear_time(made):
+    import time
+
+    def seconds(n):
+        begun = time.perf_counter()
+        pages.main_text(made.replace("{}", "") * n + PROSE + made.split("{}")[1] * n)
+        return time.perf_counter() - begun
+
+    seconds(200)
+    assert seconds(16_000) < 0.5 + 8 * seconds(4_000)
+
+
 @pytest.mark.parametrize(
     "lines_in",
     [

@@ -212,6 +212,10 @@ class Lexicon:
         return best
 
 
+def _next_stop(tokens: list[str], places: range) -> int | None:
+    return next((i for i in places if _SYMBOL.get(tokens[i]) == STOP), None)
+
+
 FEATURES = 9
 
 
@@ -236,8 +240,11 @@ def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[fl
         tokens = _TOKEN.findall(block)
         insults = {w: x for w in set(tokens) if (x := lexicon.weight(w)) > 0}
         n_words += sum(map(str.isalpha, tokens))
-        if not insults and not state and not any(symbol_of(w) == THREAT for w in set(tokens)):
-            continue  # nothing here can become a clause
+        if not insults and not any(symbol_of(w) == THREAT for w in set(tokens)):
+            # no clause begins here: all that can matter is the sentence a clause is in
+            first, last = _next_stop(tokens, range(len(tokens))), _next_stop(tokens, range(len(tokens) - 1, -1, -1))
+            if first is not None:
+                tokens = tokens[: first + 1] + tokens[last + 1 :]
         for token in tokens:
             weight = insults.get(token, 0.0)
             symbol = INSULT if weight else symbol_of(token)

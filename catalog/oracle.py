@@ -455,12 +455,16 @@ WHERE word = next_word AND sep = ' ' AND length(word) > 1"""
 
 BENCH = f"""
 bw AS MATERIALIZED (SELECT unnest({spell_words_sql("regexp_replace(text, '[\r\n]+', ' ', 'g')")}) AS word FROM benchmark)"""
-GOOD_LIST = f"""
-gl AS (SELECT unnest([{", ".join(q(w) for w in C.GOOD_WORDS)}]) AS word),
+_DECLARED = f"""
+gl AS (SELECT unnest([{", ".join(q(w) for w in C.GOOD_WORDS)}]) AS word),"""
+_ALL_LISTED = f"""
+gl AS (SELECT unnest([{", ".join(q(w) for w in C.GOOD_WORDS)}]) AS word UNION ALL SELECT word FROM bw),"""
+_GOOD_FORMS = f"""
 gq AS (SELECT replace(word, '''', '’') AS word FROM gl),
 gw AS MATERIALIZED (SELECT word FROM gq
     UNION SELECT {title_sql("word")} FROM gq WHERE lower(word) = word
     UNION SELECT {upper_sql("word")} FROM gq WHERE lower(word) = word OR {title_sql("word")} = word)"""
+GOOD_LIST = _DECLARED + _GOOD_FORMS
 SCANNOS = (
     "sl AS (SELECT unnest([" + ", ".join(q(w) for w in fx.COMMON_SCANNOS) + "]) AS word),"
     f"sc AS MATERIALIZED (SELECT word FROM sl UNION SELECT {title_sql('lower(word)')} FROM sl "
@@ -558,6 +562,26 @@ hp AS (SELECT a.doc_id, b.word AS solid, b.n AS n_solid, a.word AS hyphenated, a
     WHERE contains(a.word, '-') AND NOT regexp_matches(a.word, '[0-9]'))"""
 
 
+def hyphen_pairs_by_list() -> str:
+    """The same pairs from one list of words per document."""
+    return ctes(src(C.TYPESET), LINES.replace(" AS MATERIALIZED", " AS NOT MATERIALIZED")) + f""",
+ws AS NOT MATERIALIZED (SELECT doc_id, flatten(list({book_words_sql("text")})) AS words FROM l GROUP BY doc_id),
+wh AS NOT MATERIALIZED (SELECT doc_id, words, list_distinct(list_filter(words,
+    lambda w: contains(w, '-') AND NOT regexp_matches(w, '[0-9]') AND list_contains(words, replace(w, '-', '')))) AS hs FROM ws)
+SELECT doc_id, replace(h, '-', '') AS solid, len(list_filter(words, lambda w: w = replace(h, '-', ''))) AS n_solid,
+    h AS hyphenated, len(list_filter(words, lambda w: w = h)) AS n_hyphenated
+FROM (SELECT doc_id, words, unnest(hs) AS h FROM wh)"""
+
+
+def ok_words() -> str:
+    """Vocabulary without suspects, as one grouping of tagged rows."""
+    sql = spelling(
+        """SELECT doc_id, word, sum(n)::BIGINT AS n FROM (SELECT doc_id, word, n, 0 AS bad FROM v
+    UNION ALL SELECT doc_id, word, 0, 1 FROM su) GROUP BY doc_id, word HAVING max(bad) = 0"""
+    )
+    return sql.replace(" AS MATERIALIZED", " AS NOT MATERIALIZED")
+
+
 def hyphen_lines(seeds=C.TYPESET) -> str:
     return hyphen_pairs(seeds) + """,
 hs AS (SELECT doc_id, solid AS word FROM hp UNION SELECT doc_id, hyphenated FROM hp)
@@ -892,7 +916,7 @@ def repeated_lines(seeds=None) -> str:
 def oracle_sql() -> dict[str, str]:
     out = {
         "doc_lines": ctes(src(), LINES) + "SELECT doc_id, line_no, text FROM l",
-        "good_words": ctes(BENCH, GOOD_LIST) + "SELECT word FROM gw",
+        "good_words": ctes(BENCH, _ALL_LISTED + _GOOD_FORMS) + "SELECT word FROM gw",
         "scanno_list": ctes(BENCH)
         + f" SELECT word FROM bw UNION SELECT {title_sql('lower(word)')} FROM bw UNION SELECT {upper_sql('lower(word)')} FROM bw",
         "hebe_counts": hebe_counts(),
@@ -934,7 +958,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_keep": ctes(src(), LINES, POSTINGS)
         + "SELECT doc_id, word, min(line_no) AS first_line FROM b GROUP BY doc_id, word",
         "line_intersection": line_intersection(),
-        "hyphen_nonhyphen": hyphen_pairs() + "SELECT doc_id, solid, n_solid, hyphenated, n_hyphenated FROM hp",
+        "hyphen_nonhyphen": hyphen_pairs_by_list(),
         "hyphen_nonhyphen_lines": hyphen_lines(),
         "hyphen_space": hyphen_space(),
         "asterisks": line_check("asterisks"),
@@ -965,9 +989,7 @@ def oracle_sql() -> dict[str, str]:
         "repeated_lines": repeated_lines(),
         "spell_suspects": spelling("SELECT doc_id, word FROM su"),
         "spell_suspects_good_words": spelling("SELECT doc_id, word FROM su", good=True),
-        "ok_words": spelling(
-            "SELECT doc_id, word, n FROM v WHERE NOT EXISTS (SELECT 1 FROM su WHERE su.doc_id = v.doc_id AND su.word = v.word)"
-        ),
+        "ok_words": ok_words(),
         "dictionary_candidates": ctes(quote_ctes(C.QUOTES)) + "SELECT doc_id, kind, stem, word FROM ca",
         "smart_quote_scan": ctes(quote_ctes(C.QUOTES)) + scan_ctes() + "SELECT doc_id, line_no, pos, tag, item FROM sq",
         "quote_overlay": overlay(),

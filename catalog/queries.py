@@ -155,7 +155,9 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         # sources, lists, sinks
         "doc_lines": _on(derived.lines),
-        "good_words": lambda s, sf: wordlists.good_words(listed_good_words(s, sf)),
+        "good_words": lambda s, sf: wordlists.good_words(
+            listed_good_words(s, sf).unionByName(benchmark_words(s, sf))
+        ),
         "scanno_list": lambda s, sf: wordlists.scanno_list(benchmark_words(s, sf)),
         "hebe_counts": _on(wordlists.hebe_counts, C.LIST_FILES),
         "hebe_train": _on(wordlists.hebe_train),

@@ -52,8 +52,8 @@ def _features(words: Column, grams: int) -> Column:
     """All runs of one to ``grams`` words, joined by one space."""
     runs = words
     for k in range(2, grams + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-        joined = F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), " "))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
+        joined = F.transform(starts, lambda i, k=k: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
         runs = F.concat(runs, F.when(F.size(words) >= k, joined).otherwise(F.array().cast("array<string>")))
     return runs
 

@@ -953,6 +953,11 @@ def oracle_sql() -> dict[str, str]:
             count(*) OVER (PARTITION BY doc_id, check_name, rule) AS total,
             CASE WHEN check_name = 'dash check' THEN {fx.REPORT_LIMITS['dash check']} ELSE {fx.REPORT_LIMIT} END AS lim FROM h)
         SELECT doc_id, check_name AS "check", rule, "rank", line_no, greatest(total - lim, 0) AS n_more FROM k WHERE "rank" <= lim""",
+        "limited_report_chars": f"""SELECT doc_id, ch AS item, "rank", line_no, greatest(total - 2, 0)::BIGINT AS n_more
+            FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ch ORDER BY line_no, text) AS "rank",
+                count(*) OVER (PARTITION BY doc_id, ch) AS total FROM ({rare_chars()})) WHERE "rank" <= 2""",
+        "overlay_texts": f"""SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS text
+            FROM ({overlay()}) GROUP BY doc_id""",
         "numeric_filter": ctes(src(C.SITUATIONS), LINES, POSTINGS, VOCAB)
         + f"SELECT doc_id, word, n FROM v WHERE {has('lower(word)', fx.NUMERALS)}",
         "distinct_keep": ctes(src(), LINES, POSTINGS)

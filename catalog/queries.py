@@ -23,6 +23,7 @@ from galley.operators import (
     spelling,
     word_checks,
 )
+from galley.operators.findings import findings
 from galley.plans.joins import Lookup, use_checkpoint_dir
 from galley.plans.runner import Lists, run_checks
 from galley.sources import wordlists
@@ -94,6 +95,27 @@ def _limited(books: DataFrame) -> DataFrame:
     )
 
 
+def _limited_chars(books: DataFrame) -> DataFrame:
+    found = findings(
+        layout_checks.rare_chars(books),
+        "rare characters",
+        line_no=F.col("line_no"),
+        item=F.col("ch"),
+        n=F.col("n"),
+        context=F.col("text"),
+    )
+    return report.limited_report(found).select("doc_id", "item", "rank", "line_no", "n_more")
+
+
+def _overlay_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The overlay written as one text per document, and read again."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/overlay"
+    report.write_texts(quotes.overlay_texts(_overlay(spark, sf)), path)
+    stored = spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("long").alias("doc_id"), "value")
+    return stored.select("doc_id", F.regexp_replace("value", "\n\\z", "").alias("text"))
+
+
 def _all_findings(spark: SparkSession, sf: str, families: str) -> DataFrame:
     lists = Lists(
         scannos=scanno_words(spark),
@@ -163,6 +185,7 @@ def queries() -> dict[str, Query]:
         "hebe_train": _on(wordlists.hebe_train),
         "findings_sink": _sink,
         "quote_overlay": _overlay,
+        "overlay_texts": _overlay_texts,
         "run_checks": lambda s, sf: report.summary(_all_findings(s, sf, "a")),
         # derived tables
         "doc_paragraphs": _on(derived.paragraphs, C.TYPESET),
@@ -178,6 +201,7 @@ def queries() -> dict[str, Query]:
         "context": _on(_context_query),
         "concordance": _on(_concordance),
         "limited_report": _on(_limited),
+        "limited_report_chars": _on(_limited_chars),
         "summary": _text_summary,
         "numeric_filter": _on(derived.numeric_words, C.SITUATIONS),
         "distinct_keep": _on(derived.distinct_keep),

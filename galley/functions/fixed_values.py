@@ -259,4 +259,7 @@ END_BE = "*** END BE ***"
 # Rows shown per rule before "more": default, and by check.
 REPORT_LIMIT = 5
 REPORT_LIMITS = {"dash check": 10, "rare characters": 2, "duplicate lines": 4}
+REPORT_RULE_LIMITS = {"abandoned HTML tag": 10}
+# Checks whose limit holds for each item (each rare character).
+REPORT_PER_ITEM = ["rare characters"]
 # ------------------------------------------------------------ END FIXED VALUES

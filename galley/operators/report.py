@@ -21,10 +21,12 @@ def first_rows(df: DataFrame, by: list[str], order: list[Column], k: int) -> Dat
 
 def limited_report(found: DataFrame, limit: int | None = None) -> DataFrame:
     """The rows of each (document, check, rule) a report shows, and how many
-    more there are.  ``limit`` overrides the usual number for every check."""
-    keys = ["doc_id", "check", "rule"]
+    more there are; of each item where a check is limited so.  ``limit`` overrides
+    the usual number for every check."""
+    keys = ["doc_id", "check", "rule", "of"]
+    own_item = F.when(F.col("check").isin(fx.REPORT_PER_ITEM), F.col("item"))
     # read for the totals and for the first rows: the checks run once
-    found = durable(found)
+    found = durable(found).withColumn("of", F.coalesce(own_item, F.lit("")))
     totals = found.groupBy(*keys).agg(F.count("*").alias("n_total"))
     order = [
         F.when(F.col("check") == "long lines", -F.col("n")).otherwise(0),
@@ -35,17 +37,20 @@ def limited_report(found: DataFrame, limit: int | None = None) -> DataFrame:
     ]
     w = Window.partitionBy(*keys).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
     ranked = found.withColumn("rank", F.row_number().over(w))
-    biggest = limit or max(fx.REPORT_LIMIT, *fx.REPORT_LIMITS.values())
+    biggest = limit or max(fx.REPORT_LIMIT, *fx.REPORT_LIMITS.values(), *fx.REPORT_RULE_LIMITS.values())
     shown = ranked.filter(F.col("rank") <= biggest)
     k = F.lit(limit or fx.REPORT_LIMIT)
     if limit is None:
         for check, own in fx.REPORT_LIMITS.items():
             k = F.when(F.col("check") == check, own).otherwise(k)
+        for rule, own in fx.REPORT_RULE_LIMITS.items():
+            k = F.when(F.col("rule") == rule, own).otherwise(k)
     return (
         shown.filter(F.col("rank") <= k)
         .withColumn("rank", F.col("rank").cast("long"))
         .join(totals, keys)
         .withColumn("n_more", F.greatest(F.col("n_total") - k, F.lit(0)).cast("long"))
+        .drop("of")
     )
 
 
@@ -68,6 +73,12 @@ def summary_by_doc(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "check", "rule").agg(F.count("*").alias("n"))
 
 
+def write_texts(texts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store ``texts(doc_id, text)`` as text files, one for every document, in a
+    folder named by its ``doc_id``."""
+    texts.select("doc_id", "text").write.mode(mode).partitionBy("doc_id").option("lineSep", "\n").text(path)
+
+
 def write_findings(found: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Store findings by check and read them back.
 

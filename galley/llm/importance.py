@@ -50,12 +50,13 @@ def words_of(text: Column) -> Column:
 
 def _features(words: Column, grams: int) -> Column:
     """All runs of one to ``grams`` words, joined by one space."""
-    runs = words
-    for k in range(2, grams + 1):
+
+    def runs_of(k: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
-        joined = F.transform(starts, lambda i, k=k: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
-        runs = F.concat(runs, F.when(F.size(words) >= k, joined).otherwise(F.array().cast("array<string>")))
-    return runs
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
+        return F.when(F.size(words) >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *[runs_of(k) for k in range(2, grams + 1)])
 
 
 def buckets_of(words: Column, grams: int = 1, buckets: int = BUCKETS) -> Column:

@@ -22,6 +22,12 @@ def test_query_matches_sql(spark, tables, name):
     assert n_spark == n_sql
 
 
+def test_all_checks_match_sql_on_more_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    found = K.compare(QUERIES["run_checks"](spark, sf), K.connect(sf), ORACLE["run_checks"])
+    assert found[2:] == ([], []) and found[0] == found[1]
+
+
 def test_entry_has_rows(spark):
     assert entry_points.entry(spark).count() > 5
 

@@ -86,16 +86,24 @@ def _slices(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids", check: str | None = None
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    column: str = "ids",
+    check: str | None = None,
+    decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with the ids of ``text``, without special tokens.
 
-    ``check`` names a further column: whether the ids decode to the text again.
+    ``check`` names a further column: whether the ids decode to the text again;
+    ``decoded`` one with the bytes they decode to.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
     added = [T.StructField(column, T.ArrayType(T.IntegerType()))]
     if check:
         added.append(T.StructField(check, T.BooleanType()))
+    if decoded:
+        added.append(T.StructField(decoded, T.BinaryType()))
     new = [f.name for f in added]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + added)
 
@@ -104,10 +112,10 @@ def encode(
 
         words_of = regex.compile(pattern).findall
         table, known, held = shared.value, {}, 0
-        pieces = _pieces(table) if check else []
+        pieces = _pieces(table) if check or decoded else []
         for whole in parts:
             for part in _slices(whole):
-                values, ends, same = [], [0], []
+                values, ends, same, joined = [], [0], [], []
                 for text in part.column("text").to_pylist():
                     words = [] if text is None else words_of(text)
                     for word in set(words):
@@ -117,15 +125,21 @@ def encode(
                     ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
                     values.append(ids)
                     ends.append(ends[-1] + len(ids))
+                    back = b"".join(map(pieces.__getitem__, ids.tolist())) if pieces else b""
                     if check:
-                        back = b"".join([pieces[i] for i in ids.tolist()])
                         same.append(back == (text or "").encode("utf-8", "surrogatepass"))
+                    if decoded:
+                        joined.append(back)
                     if held > REMEMBERED:
                         known, held = {}, 0
                 flat = np.concatenate(values) if values else np.empty(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 names = [n for n in part.schema.names if n not in new]
-                more = [lists, pa.array(same, pa.bool_())] if check else [lists]
+                more = [lists]
+                if check:
+                    more.append(pa.array(same, pa.bool_()))
+                if decoded:
+                    more.append(pa.array(joined, pa.binary()))
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + more, names + new)
 
     return docs.mapInArrow(batches, schema)

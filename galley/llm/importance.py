@@ -61,9 +61,11 @@ def _features(words: Column, grams: int) -> Column:
 
 def buckets_of(words: Column, grams: int = 1, buckets: int = BUCKETS) -> Column:
     """The bucket of every feature, repeats included."""
-    return F.transform(
-        _features(words, grams), lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int")
-    )
+    def of(features: Column) -> Column:
+        return F.transform(features, lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int"))
+
+    # runs of words look back into the array, which is then worked out once
+    return of(words) if grams == 1 else let(words, lambda w: of(_features(w, grams)))
 
 
 def bucket_counts(docs: DataFrame, grams: int = 1, buckets: int = BUCKETS) -> list[int]:

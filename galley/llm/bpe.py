@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 REMEMBERED = 64 << 20
 BYTES_AT_ONCE = 2 << 20
+SHORT = 40  # bytes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,10 +38,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``fold``; looking over all pairs is cheaper than a heap for few of them."""
+    get, none = ranks.get, len(ranks) + 256  # above every rank
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (lowest := min(pairs)) < none:
+        i = pairs.index(lowest)
+        joined = pieces[i] + pieces.pop(i + 1)
+        pieces[i] = joined
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(joined + pieces[i + 1], none)
+        if i:
+            pairs[i - 1] = get(pieces[i - 1] + joined, none)
+    return [ranks[p] for p in pieces]
+
+
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word; the lowest rank merges first, the leftmost of equals."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) <= SHORT:
+        return _fold_short(word, ranks)
     n = len(word)
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))

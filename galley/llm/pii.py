@@ -4,9 +4,10 @@ The rules find e-mail addresses, IP addresses, card numbers and phone numbers;
 what they find always stays.  The model adds spans that the rules miss (a phone
 number without its plus sign, an address written with "at" and "dot", account
 and identity numbers).  It scores whole candidate segments, by features of the
-whole span, and one dynamic program over the tokens around a digit or an ``@``
-chooses boundaries and types together; a segment holds at most ``LONGEST``
-tokens.  Its weights maximise the conditional likelihood of generated snippets
+whole span, and one dynamic program over the tokens around a trigger (a digit, an
+``@``, an "at" that a "dot" follows) chooses boundaries and types together; a
+segment holds at most ``LONGEST`` tokens, and a digit, an ``@``, or an "at" and a
+"dot".  Its weights maximise the conditional likelihood of generated snippets
 (``SNIPPETS`` of them, fixed seed), no rows of the corpus.
 
 Offsets are code points, ends exclusive.  A null text is empty.  Texts are read
@@ -30,9 +31,9 @@ from galley.llm.common import ids_and_texts
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = 4
-LONGEST = 20
-SNIPPETS = 500
-EPOCHS = 4
+LONGEST = 22
+SNIPPETS = 2400
+EPOCHS = 6
 SEED = 11
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,9 +92,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\S\n]+|\n|[^\w\s]|.", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
-_TRIGGER = re.compile(r"[0-9]|@|\b(?:at|AT)\b")
 _AROUND = 48  # characters on each side of a trigger
-_EMAIL_WORDS = {"at", "dot", "AT", "DOT"}
+_TRIGGER = re.compile(rf"[0-9]|@|\b(?i:at)\b(?=[^\n]{{1,{_AROUND}}}?\b(?i:dot)\b)")
+_EMAIL_WORDS = {"at", "dot"}
+_SMALL_WORDS = set("a an and are as at but by each for from he in is it of on one or she that the they this to was with you".split())
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)")
+_SPELLED = re.compile(r"\w[\w.+-]*(?:\W{1,2}dot\W{1,2}\w+)*\W{1,2}at(?:\W{1,2}[\w-]+\W{1,2}dot)+\W{1,2}\w{2,}", re.I)
+
+
+def iban_holds(text: str) -> bool:
+    """Whether the check digits of an account number are right."""
+    if not _IBAN.fullmatch(text):
+        return False
+    packed = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
 
 
 def _shape(tokens: list[str]) -> str:
@@ -102,12 +114,22 @@ def _shape(tokens: list[str]) -> str:
         if t[0] in "0123456789":
             out.append(f"9{len(t)}" if len(t) < 5 else "9+")
         elif t.isalpha():
-            out.append(t if t in _EMAIL_WORDS else ("A" if t.isupper() else "a") + (str(len(t)) if len(t) < 4 else "+"))
+            out.append(t.lower() if t.lower() in _EMAIL_WORDS else ("A" if t.isupper() else "a") + (str(len(t)) if len(t) < 4 else "+"))
         else:
             out.append(" " if t.isspace() else t)
     return "".join(out)
 
 
+def _coarse(tokens: list[str]) -> str:
+    """The span's order of digits, letters and marks, whatever their number."""
+    out = []
+    for t in tokens:
+        kind = "9" if t[0] in "0123456789" else "@" if t.lower() in _EMAIL_WORDS else "a" if t.isalpha() else " " if t.isspace() else t
+        if kind != "a" or out[-1:] != ["a"]:
+            out.append(kind)
+    return "".join(out) if len(out) <= 16 else "long"
+
+
 def features(tokens: list[str], i: int, j: int) -> list[str]:
     """Features of the whole span ``tokens[i:j]`` and its edges."""
     span = tokens[i:j]
@@ -117,24 +139,31 @@ def features(tokens: list[str], i: int, j: int) -> list[str]:
     letters = sum(c.isalpha() for c in text)
     before = next((t.lower() for t in reversed(tokens[max(0, i - 4) : i]) if t.isalpha()), "")
     n = len(digits)
+    lower = [t.lower() for t in span]
     out = [
         "bias",
+        f"coarse={_coarse(span)}",
         f"shape={_shape(span)}" if len(span) <= 12 else "shape=long",
         f"kinds={''.join(sorted(set(re.sub('[0-9]', '9', re.sub('[A-Za-z]+', 'a', text)))))}",
         f"digits={n if n < 20 else 20}",
         f"groups={[len(g) for g in groups]}" if len(groups) <= 5 else "groups=many",
         f"luhn={12 <= n <= 19 and luhn(digits)}/{letters > 0}",
         f"before={before}",
-        f"tail={[t if t in _EMAIL_WORDS else t.isalpha() for t in span if t.isalnum()][-3:]}",
+        f"tail={[t if t in _EMAIL_WORDS else t.isalpha() for t in lower if t.isalnum()][-3:]}",
         f"open={span[0][0] in '+('}{span[0].isalpha()}",
-        f"letters={min(letters, 4)}{'@' in text}{'at' in span and 'dot' in span}",
+        f"letters={min(letters, 4)}{'@' in text}{_SPELLED.fullmatch(text) is not None}",
         f"glued={i > 0 and not tokens[i - 1].isspace() and tokens[i - 1] not in '(<[:,'}"
         f"{j < len(tokens) and tokens[j][0].isalnum()}",
     ]
+    if "at" in lower and lower[-1].isalpha():
+        host = next((t for t in lower[lower.index("at") + 1 :] if t.isalpha()), "")
+        out.append(f"prose={lower[-1] in _SMALL_WORDS}{host in _SMALL_WORDS}")
     if len(groups) == 4 and text.count(".") == 3 and not letters:
         out.append(f"bytes={all(int(g) <= 255 for g in groups)}")
     if re.fullmatch(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]+", text):
-        out.append(f"iban={15 <= sum(c.isalnum() for c in text) <= 34}")
+        out.append(f"iban={15 <= sum(c.isalnum() for c in text) <= 34}{iban_holds(text)}")
+    if text[0] in "+0(" and not letters:
+        out.append(f"dialled={text[:2] if text[0] == '0' else text[0]}/{min(len(groups), 4)}/{9 <= n <= 15}")
     return out
 
 
@@ -143,23 +172,25 @@ def _may_open(t: str) -> bool:
 
 
 def segments(tokens: list[str]) -> list[tuple[int, int]]:
-    """Candidate segments: bounded, with a digit or an at, and no lone prose."""
+    """Candidate segments: bounded, with a digit, an ``@`` or an at and a dot, and no lone prose."""
     out = []
     for i, first in enumerate(tokens):
         if not _may_open(first):
             continue
         spaces = letters = 0
-        hot = False
+        hot = at = False
         for j in range(i, min(i + LONGEST, len(tokens))):
             t = tokens[j]
-            if t == "\n" or spaces > 6:
+            if t == "\n" or spaces > 9:
                 break
             if t.isspace():
                 spaces += 1
-            hot = hot or t[0] in "0123456789@" or t in ("at", "AT")
-            if t.isalpha() and t not in _EMAIL_WORDS and spaces:
+            low = t.lower()
+            at = at or low == "at"
+            hot = hot or t[0] in "0123456789@" or (at and low == "dot")
+            if spaces and t.isalpha() and low not in _EMAIL_WORDS and not (t.isupper() and len(t) <= 4):
                 letters += 1
-                if letters > 2:
+                if letters > (5 if at else 2):
                     break
             if hot and t.isalnum() and (j > i or len(t) >= 6):
                 out.append((i, j + 1))
@@ -262,9 +293,16 @@ def _snippets() -> list[tuple[list[str], set[tuple[int, int, int]]]]:
 
     def entity(kind: int) -> tuple[str, str]:
         if kind == 0:
-            name, host, top = word() + draw.choice(["", ".", "_"]) + word() + draw.choice(["", d(2)]), word(), draw.choice(["com", "org", "net", "example"])
-            name, host = re.sub("[éü]", "e", name), re.sub("[éü]", "u", host)
-            return "mail", draw.choice([f"{name}@{host}.{top}", f"{name} at {host} dot {top}"])
+            plain = lambda: re.sub("[éü]", "e", word())
+            gap = draw.choice(["", ".", "_", "-"])
+            host, top = plain(), draw.choice(["com", "org", "net", "example", "de", "io", "edu"])
+            if draw.random() < 0.2:
+                return "mail", f"{plain()}{gap}{plain()}{draw.choice(['', d(2)])}@{host}.{top}"
+            left, right = draw.choice([(" ", " "), (" ", " "), (" (", ") "), (" [", "] "), ("(", ")"), ("[", "]")])
+            at, dot = (left + w + right for w in draw.choice([("at", "dot"), ("at", "dot"), ("AT", "DOT"), ("At", "Dot")]))
+            name = plain() + draw.choice([gap + plain(), "", d(2), dot + plain()])
+            host = draw.choice([host, host, f"{host}-{plain()}", f"{plain()}{dot}{host}"])
+            return draw.choice(["mail", "email", "write", "to"]), f"{name}{at}{host}{dot}{top}"
         if kind == 1:
             return "host", ".".join(str(draw.randint(0, 255)) for _ in range(4))
         if kind == 2:
@@ -272,10 +310,22 @@ def _snippets() -> list[tuple[list[str], set[tuple[int, int, int]]]]:
             return "card", draw.choice([c, "-".join(c[i : i + 4] for i in range(0, 16, 4)), " ".join(c[i : i + 4] for i in range(0, 16, 4))])
         if kind == 3:
             a, b, c = d(3), d(3), d(4)
-            return draw.choice(["tel", "phone", "call"]), draw.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+49 {a} {b}{c}", f"{a}-{b}-{c}"])
+            abroad = draw.choice(["1", "33", "34", "39", "44", "49", "353", "61"])
+            return draw.choice(["tel", "phone", "call", "mobile", "fax", "at", "number"]), draw.choice(
+                [
+                    f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"+49 {a} {b}{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}",
+                    f"1-{a}-{b}-{c}", f"00{abroad} {d(2)} {b}{c}", f"00{abroad} {a} {d(6)}", f"00{abroad} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+                    f"+{abroad} {d(2)} {c} {d(4)}", f"0{d(2)} {c} {d(4)}", f"0{d(3)} {d(6)}", f"0{d(4)} {d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"(0{d(2)}) {d(7)}",
+                    f"0{d(2)}/{d(7)}", f"0{d(3)}-{d(7)}",
+                ]
+            )
         if kind == 4:
-            parts = [d(4) for _ in range(4)] + [d(2)]
-            return "iban", draw.choice(["DE", "FR", "ES"]) + d(2) + draw.choice(["", " "]).join(["", *parts])
+            bank = draw.choice(["", "", "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)), draw.choice("MXK")])
+            land = draw.choice("ABCDEFGHIJKLMNPRST") + draw.choice("ABCDEFGHIJKLMNOPRSTUVZ")
+            body = bank + d(draw.randint(11, 26) - len(bank))
+            check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+            whole = f"{land}{check:02d}{body}" if draw.random() < 0.8 else f"{draw.choice(['DE', 'FR', 'ES'])}{d(2)}{d(18)}"
+            return "iban", draw.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
         return "ssn", f"{d(3)}-{d(2)}-{d(4)}"
 
     def other() -> str:
@@ -285,17 +335,23 @@ def _snippets() -> list[tuple[list[str], set[tuple[int, int, int]]]]:
                 f"no {d(1)}", d(draw.randint(1, 8)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", "token = " + "".join(draw.choice("0123456789abcdef") for _ in range(32)),
                 "AKIA" + "".join(draw.choice("ABCDEFGHIJ0123456789") for _ in range(16)), f"page {d(3)}", f"{word()} at {word()}", f"CC BY-NC {d(1)}.{d(1)}", f"{d(1)}{word()}", f"{d(3)}.{d(3)}",
                 f"{word()} at the {word()}", f"{d(2)} {word()} {d(2)}", d(10), "-".join([d(2), d(2)]), f"{d(1)} - {d(1)}",
+                f"{d(2)} {d(2)} {d(4)}", f"{d(1)} {d(3)} {d(3)}", f"{d(3)} {d(3)}", f"{d(4)} {d(4)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"0.{d(6)}", f"0{d(1)}:{d(2)}",
+                f"{d(3)} {d(3)} {d(3)} {d(3)}", f"{d(1)} {d(1)} {d(2)} {d(3)}", f"{d(4)}, {d(4)}, {d(4)}", f"looked at the dot on {word()}", f"{word()} at {word()} and a dot",
+                f"{word()} at {draw.choice(['a', 'the', 'one', 'each', 'this'])} dot {draw.choice(['on', 'in', 'of', 'and', 'or', 'by'])} {word()}",
+                f"at {d(2)}:{d(2)} {word()}", "".join(draw.choice("ABCDEFGH") for _ in range(3)) + d(6), f"{draw.choice('AB')}{d(2)} {d(4)}", f"ISBN {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
             ]
         )
 
     out = []
     for k in range(SNIPPETS):
-        left, right = " ".join(word() for _ in range(3)) + " ", draw.choice([" ", ". ", ", "]) + word()
-        kind = k % (len(KINDS) * 2)
+        left = " ".join(word() for _ in range(3)) + draw.choice([" ", " ", ", ", ": ", "\n", ". "]) if draw.random() < 0.75 else ""
+        right = draw.choice([" ", ". ", ", ", "\n"]) + word() if draw.random() < 0.85 else ""
+        kind = k % (len(KINDS) * 2 + 2)
+        kind = 0 if kind >= len(KINDS) * 2 else kind  # addresses have the most forms
         if kind < len(KINDS):
             cue, span = entity(kind)
             if draw.random() < 0.3:
-                left += cue + draw.choice([" ", ": "])
+                left += draw.choice([cue, cue.title()]) + draw.choice([" ", ": "])
         else:
             span = other()
         tokens = _TOKEN.findall(left + span + right)
@@ -330,8 +386,6 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
 def all_spans(text: str, model: SemiCrf) -> tuple[list, list]:
     """Spans by the rules, and those with the model's further ones."""
     base = base_spans(text)
-    if not _DIGIT.search(text) and "@" not in text and " dot " not in text:
-        return base, base
     more = []
     for lo, hi in _regions(text):
         tokens = _TOKEN.findall(text[lo:hi])

@@ -486,6 +486,22 @@ def personal_by_hand(text):
     return sorted(out)
 
 
+def test_words_fold_alike_with_and_without_a_heap(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("by_hand", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(31)
+    words = [" " + "".join(draw.choice("aabcdeeghilnorstuéß") for _ in range(draw.randint(1, 60))) for _ in range(1500)]
+    words += ["a" * n for n in range(1, 90)] + ["ab" * n for n in range(1, 40)]
+    want = [library.encode_single_token(w) if w.encode() in ranks else library.encode_ordinary(w) for w in words]
+    want = [[ids] if isinstance(ids, int) else ids for ids in want]
+    for short in (0, bpe.SHORT, 10**6):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        assert [bpe.fold(w.encode(), ranks) for w in words] == want
+
+
 def test_personal_data_rules_by_hand():
     draw = random.Random(6)
     pool = [*"@@..--++ ()0123456789aZ_%é\n🙂", "a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "@x.y@z.w"]

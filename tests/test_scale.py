@@ -46,6 +46,18 @@ def test_no_cross_join(spark, name):
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 
+ASKING = ["spell_suspects", "ok_words", "edit_distance", "suspect_lines", "near_pair_lines"]
+
+
+@pytest.mark.parametrize("name", ASKING)
+def test_a_short_dictionary_is_asked_in_the_row(spark, name, monkeypatch):
+    in_row = entry_points.queries()[name](spark, SF)
+    assert "Exchange" not in plan(in_row) and "Join" not in plan(in_row)
+    monkeypatch.setattr(Lookup, "listed", lambda self, column, limit=0: None)
+    joined = entry_points.queries()[name](spark, SF)
+    assert in_row.count() == joined.count() and in_row.exceptAll(joined).count() == 0
+
+
 def test_lookup_join_salted_equals_broadcast(spark):
     hot = spark.range(20000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("word")

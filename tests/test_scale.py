@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from galley.functions.arrays import meet, running_sums
 from galley.operators import derived, hyphen_checks, layout_checks, line_checks, paragraph_checks, quotes
-from galley.operators.report import write_findings
+from galley.operators.report import store_texts, write_findings
 from galley.plans.joins import Lookup
 from galley.sources.books import from_parquet
 from galley.streaming.line_stream import stream_books, stream_line_findings
@@ -58,6 +58,28 @@ def test_a_short_dictionary_is_asked_in_the_row(spark, name, monkeypatch):
     assert in_row.count() == joined.count() and in_row.exceptAll(joined).count() == 0
 
 
+@pytest.mark.parametrize("name", ["smart_quote_scan", "quote_overlay", "dictionary_candidates"])
+def test_quotes_ask_a_short_dictionary_in_the_row(spark, name, monkeypatch):
+    in_row = entry_points.queries()[name](spark, SF)
+    assert "Exchange" not in plan(in_row) and "Join" not in plan(in_row)
+    monkeypatch.setattr(Lookup, "listed", lambda self, column, limit=0: None)
+    joined = entry_points.queries()[name](spark, SF)
+    assert in_row.count() == joined.count() and in_row.exceptAll(joined).count() == 0
+
+
+def test_overlaid_texts_take_few_files(spark, tmp_path):
+    texts = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(" a\n\nb\n").alias("text"))
+    stored = store_texts(texts, str(tmp_path / "out"))
+    assert stored.exceptAll(texts).count() == 0 and stored.count() == 500
+    assert len(list((tmp_path / "out").glob("**/*.parquet"))) < 50
+
+
+def test_overlay_equals_its_lines(spark):
+    whole = entry_points.queries()["overlay_texts"](spark, SF)
+    lines = quotes.overlay_texts(entry_points.queries()["quote_overlay"](spark, SF))
+    assert whole.count() == lines.count() > 0 and whole.exceptAll(lines).count() == 0
+
+
 def test_lookup_join_salted_equals_broadcast(spark):
     hot = spark.range(20000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("word")

@@ -1,16 +1,17 @@
 """Rules asked only where their sign stands hit what their plain patterns hit."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
-from galley.functions.text import matches
-from galley.operators import line_checks
+from galley.functions.text import match_spans, matches
+from galley.operators import line_checks, paragraph_checks
 
 PARTS = [
     *"aeIsthzé09,.;:!?-–—‐\"'’‘“”[]<>&_$#*\t ­ İıſ",
-    " ", " ", " the", " The,", " it's", " an.", " Mr,", " drs,", " ’ve ", "1st", "23d", " 1 ", "...", ". .", "&c", "Blank Page", "𐐀the,", "İan,",
+    " ", " ", " the", " The,", " it's", " an.", " Mr,", " drs,", " ’ve ", "1st", "23d", " 1 ", "...", ". .", "&c", "Blank Page", "𐐀the,", "İan,", ",1948", "e- s", "<i>", "I”",
 ]
 
 
@@ -44,3 +45,39 @@ def test_dashes_of_a_line_stand_in_its_signs(spark):
     lines = line_checks.with_signs(_lines(spark))
     differ = F.col("signs").rlike(fx.DASH_ANY) != F.col("text").rlike(fx.DASH_ANY)
     assert lines.filter(differ).count() == 0
+
+
+def test_spans_of_a_text_that_holds_the_marks(spark):
+    texts = ["ab cab", "﷐ab﷑ cab", "", "é\U0001d68e ab\nab", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(match_spans(F.col("t"), "a(b)", (1,)).alias("s")).collect()
+    want = [[(m.start(), m[0], m[1]) for m in re.finditer("a(b)", t)] for t in texts]
+    assert [[tuple(s) for s in r.s] for r in got] == want
+
+
+def test_a_paragraph_is_searched_once_for_the_matches_of_a_rule(spark):
+    df = spark.createDataFrame([("ab",)], "t string").select(match_spans(F.col("t"), "a(b)", (1,)).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 1
+    assert "regexp_replace(" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_abbreviations_are_taken_out_wherever_one_stands(spark):
+    rng = random.Random(3)
+    parts = [*fx.STOP_ABBREVIATIONS, "A.", "É.B.", "5s.", "12d.", "x", " ", ".", "per", "Ma.m.r.", "é", "s."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pair = (paragraph_checks.without_abbreviations(F.col("t")), paragraph_checks._taken_out(F.col("t")))
+    rows = df.select("t", pair[0].alias("a"), pair[1].alias("b")).collect()
+    assert [r.t for r in rows if r.a != r.b] == []
+
+
+def test_paragraph_ends_hit_what_their_plain_patterns_hit(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab .:?!—]\"”'’_-") for _ in range(rng.randrange(1, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(t, rng.random() < 0.5) for t in texts], "text string, british boolean")
+    text, rule = F.col("text"), paragraph_checks.PARAGRAPH_RULES[8]
+    body = F.when(F.endswith(text, F.lit("_")), F.left(text, F.length(text) - 1)).otherwise(text)
+    ended = F.when(F.col("british"), matches(body, fx.END_BRITISH)).otherwise(matches(body, fx.END_AMERICAN))
+    want = ~F.startswith(text, F.lit(" ")) & ~ended
+    got = F.size(paragraph_checks._all_hits(text, [rule])) > 0
+    assert df.filter(want != got).count() == 0

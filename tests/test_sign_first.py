@@ -6,8 +6,10 @@ import re
 from pyspark.sql import functions as F
 
 from galley.functions import fixed_values as fx
+from galley.functions.re2 import re2
 from galley.functions.text import match_spans, matches
-from galley.operators import line_checks, paragraph_checks
+from galley.operators import book_checks, line_checks, paragraph_checks
+from galley.sources.books import line_array
 
 PARTS = [
     *"aeIsthzé09,.;:!?-–—‐\"'’‘“”[]<>&_$#*\t ­ İıſ",
@@ -63,7 +65,7 @@ def test_a_paragraph_is_searched_once_for_the_matches_of_a_rule(spark):
 
 def test_abbreviations_are_taken_out_wherever_one_stands(spark):
     rng = random.Random(3)
-    parts = [*fx.STOP_ABBREVIATIONS, "A.", "É.B.", "5s.", "12d.", "x", " ", ".", "per", "Ma.m.r.", "é", "s."]
+    parts = [*fx.STOP_ABBREVIATIONS, "A.", "É.B.", "5s.", "12d.", "x", " ", ".", "per", "Ma.m.r.", "é", "s.", "𐐀.", "𐐀.B."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(2000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     pair = (paragraph_checks.without_abbreviations(F.col("t")), paragraph_checks._taken_out(F.col("t")))
@@ -81,3 +83,38 @@ def test_paragraph_ends_hit_what_their_plain_patterns_hit(spark):
     want = ~F.startswith(text, F.lit(" ")) & ~ended
     got = F.size(paragraph_checks._all_hits(text, [rule])) > 0
     assert df.filter(want != got).count() == 0
+
+
+def test_spellings_of_a_document_are_those_of_its_lines(spark):
+    rng = random.Random(11)
+    parts = [
+        *dict(fx.SPELLING_COUNTS), " Mrs ", "a.m.", "P. m.", "a.\tm.", "to-day", "Today", "TOnIght", "tonıght", "toNİght", "to-\nday", "northeaſt", "South-West",
+        "Mr.", "mr ", "Mr ", "MRS.", "mrſ.", "Drs. dr.", "Dr ", "\n", "\r\n", " ", "é", "𐐀", "M’é", "M‘b", "'", "”", "“", '"', "’", "a.",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("lined", line_array(F.col("text")))
+    names = [*dict(fx.SPELLING_COUNTS), *book_checks._EXACT]
+    patterns = [re2(p) for _, p in fx.SPELLING_COUNTS] + list(book_checks._EXACT.values())
+    by_line = F.array(*[
+        F.aggregate("lined", F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(p))) for p in patterns
+    ])
+    rows = df.select("text", by_line.alias("want"), book_checks._counts_of(F.col("text"), F.col("lined")).alias("got")).collect()
+    for k, name in enumerate(names):
+        assert [(r.text, r.want[k], r.got[k]) for r in rows if r.want[k] != r.got[k]] == [], name
+        assert any(r.want[k] for r in rows), name
+
+
+def test_spellings_are_counted_without_a_fold_over_the_lines(spark):
+    df = spark.createDataFrame([("to-day\nx",)], "text string").withColumn("lined", line_array(F.col("text")))
+    plan = df.select(book_checks._counts_of(F.col("text"), F.col("lined")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_count" in plan or "regexp_extract_all" in plan
+    assert "aggregate(lined" not in plan
+
+
+def test_full_stops_after_letters_above_the_first_plane(spark):
+    texts = ["𐐨.b", "a 𐐨. b", "x𐐀. b", "😀.b", "😀. b", "a.b c. d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for spaced, pattern in ((False, fx.STOP_NO_SPACE), (True, fx.STOP_SPACE)):
+        spans = F.coalesce(paragraph_checks._stop_spans(F.col("t"), spaced)["item"], F.array())
+        rows = df.select("t", (F.size(spans) > 0).alias("got"), matches(F.col("t"), pattern).alias("want")).collect()
+        assert [r.t for r in rows if r.got != r.want] == [] and any(r.want for r in rows)

@@ -39,7 +39,7 @@ def _rules(check: str) -> list[tuple[str, Column]]:
     if check == "curly quotes":
         return [
             ("floating quote", _holds(signs, "“”") & matches(text, *fx.FLOATING_QUOTE)),
-            ("quote direction", _holds(signs, "‘“”") & matches(text, *fx.QUOTE_DIRECTION)),
+            ("quote direction", _holds(signs, "‘“”") & text.rlike(_FROM_SIGN["quote direction"])),
         ]
     if check == "special situations":
         return special_line_rules()
@@ -87,10 +87,16 @@ def _likely() -> dict[str, Column]:
 
 # The same lines hit, found from the sign after the letters, as letters are many.
 _FROM_SIGN = {
+    "mixed letters and numbers in word": rf"\p{{Nd}}(?:(?=\p{{L}})|(?<={WHOLE}\p{{L}}\p{{Nd}}))",
     # no letter but t, h and e folds to one of them
     "punctuation after 'the'": r"""[.,?'";:!@#$^&()](?<=(?<![0-9A-Za-z_])[tT][hH][eE].)""",
+    "broken hyphenation": rf"-(?:(?<={WHOLE}\p{{L}}-) \p{{L}}|(?<={WHOLE}\p{{L}} -)\p{{L}})",
     "comma spacing": r",(?:(?<=[a-zA-Z_],)[a-zA-Z_0-9]|(?<=[\t\n\f\r ],)|(?<=\A,))",
     "title abbreviation comma": r",(?<=Mr,|Mrs,|Dr,)",
+    "quote error (context)": (
+        r"[‘“”](?:(?<=[.,;!?’‘A-LN-Za-z]‘|[.,;!?’‘A-Za-z]“| ”)|(?<=“)(?= )|(?<=‘)(?=s[\t\n\f\r ]))"
+    ),
+    "quote direction": r"[‘“”](?:(?<=[.,;!?A-Za-z][‘“])|(?<=”)(?=[A-Za-z]))",
 }
 
 

@@ -17,7 +17,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 REMEMBERED = 64 << 20
 BYTES_AT_ONCE = 2 << 20
 SHORT = 40  # bytes
+_SINGLE = [bytes([b]) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,8 +43,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """As ``fold``; looking over all pairs is cheaper than a heap for few of them."""
     get, none = ranks.get, len(ranks) + 256  # above every rank
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    pieces = [*map(_SINGLE.__getitem__, word)]
+    pairs = [*map(get, map(add, pieces, pieces[1:]), repeat(none))]
     while pairs and (lowest := min(pairs)) < none:
         i = pairs.index(lowest)
         joined = pieces[i] + pieces.pop(i + 1)
@@ -86,6 +88,19 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
+class _Folded(dict):
+    """Words with their ids; a word not met before is folded when it is asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.held = ranks, 0
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self[word] = fold(word.encode("utf-8", "surrogatepass"), self.ranks)
+        self.held += 200 + 4 * len(word) + 40 * len(ids)
+        return ids
+
+
 def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
@@ -131,17 +146,13 @@ def encode(
         import regex
 
         words_of = regex.compile(pattern).findall
-        table, known, held = shared.value, {}, 0
-        pieces = _pieces(table) if check or decoded else []
+        known = _Folded(shared.value)
+        pieces = _pieces(shared.value) if check or decoded else []
         for whole in parts:
             for part in _slices(whole):
                 values, ends, same, joined = [], [0], [], []
                 for text in part.column("text").to_pylist():
                     words = [] if text is None else words_of(text)
-                    for word in set(words):
-                        if word not in known:
-                            known[word] = fold(word.encode("utf-8", "surrogatepass"), table)
-                            held += 200 + 4 * len(word) + 40 * len(known[word])
                     ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
                     values.append(ids)
                     ends.append(ends[-1] + len(ids))
@@ -150,8 +161,8 @@ def encode(
                         same.append(back == (text or "").encode("utf-8", "surrogatepass"))
                     if decoded:
                         joined.append(back)
-                    if held > REMEMBERED:
-                        known, held = {}, 0
+                    if known.held > REMEMBERED:
+                        known = _Folded(shared.value)
                 flat = np.concatenate(values) if values else np.empty(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 names = [n for n in part.schema.names if n not in new]

@@ -695,3 +695,10 @@ def test_variants_meet_at_every_distance(monkeypatch, limit):
         for b in root:
             if (a ^ b).bit_count() <= 4:
                 assert find(a) == find(b)
+
+
+def test_a_word_is_folded_once_when_first_asked_for():
+    known = bpe._Folded({bytes([b]): b for b in range(256)} | {b"ab": 256})
+    assert [known[w] for w in ("ab", "aab", "ab")] == [[256], [97, 256], [256]]
+    held = known.held
+    assert held > 0 and len(known) == 2 and known["aab"] == [97, 256] and known.held == held
